@@ -128,9 +128,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5):
         if hi - lo >= width:
             yield np.unique(s[lo : hi - width + 1])
         elif hi > lo:
-            x = np.uint64(hi - lo)
+            x = np.full(1, hi - lo, np.uint64)
             for j in range(hi - lo):
-                x = x + mixed(h[lo + j : lo + j + 1] + np.uint64(j))[0] * np.uint64(_PLACE[j])
-            yield mixed(np.array([x], np.uint64))
+                x = x + mixed(h[lo + j : lo + j + 1] + np.uint64(j)) * np.uint64(_PLACE[j])
+            yield mixed(x)
         else:
             yield np.zeros(0, np.uint64)

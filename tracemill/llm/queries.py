@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, mixing, quality, sharding
+from . import licenses, line_dedup, mixing, ngram_join, quality, sharding
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_kd_sharding": sharding.op4_kd_sharding,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 ORACLES = {
