@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, mixing, ngram_join, quality, sharding
+from . import licenses, line_dedup, mixing, ngram_join, packing, quality, sharding, token_file
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_kd_sharding": sharding.op4_kd_sharding,
+    "op5_pack_nnls": packing.op5_pack_nnls,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_huffman_tokens": token_file.op10_huffman_tokens,
 }
 ORACLES = {
     "op3_mix_sources": mixing.ORACLE,
