@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, mixing, ngram_join, packing, quality, sharding, token_file
+from . import extraction, licenses, line_dedup, media, mixing, ngram_join, packing, quality, sharding, token_file
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_pack_nnls": packing.op5_pack_nnls,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_interleaved_media": media.op8_interleaved_media,
+    "op9_tree_extraction": extraction.op9_tree_extraction,
     "op10_huffman_tokens": token_file.op10_huffman_tokens,
 }
 ORACLES = {
