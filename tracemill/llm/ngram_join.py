@@ -2,7 +2,8 @@
 
 A document's tokens are its distinct five-word shingles. Two documents link when 100 * |A and B| >= 80 * |A or B|.
 
-All tokens have one global order: rare ones first, then frequent ones, then those outside the counted band (each by hash).
+All tokens have one global order: rare ones first (by hash), then frequent ones (by bit length of the count, then hash), then those
+outside the counted band (by hash).
 A document of n tokens misses at most n - ceil(0.8 n) of them in a partner, so its prefix must survive that many losses. Rare
 tokens are indexed singly and survive with one token each. Frequent tokens fall into CLASSES classes and are indexed as
 pairs within a class; the prefix is extended until its classes survive the losses too. Since the prefix is cut by the same
@@ -11,7 +12,8 @@ index the plain prefix of single tokens, for which extending by classes may not
 counts of all tokens of the band; the frequent ones are broadcast under a size bound (MOST_FREQUENT), which raises what counts as
 frequent where more exist.
 
-Documents that share a signature are candidates. First each is compared with one pivot per signature; what links is joined into
+Documents that share a signature are candidates, unless a bound on their sets' difference (parities of PARITY hash classes) rules
+them out, which it does only where they can't link. First each is compared with one pivot per signature; what links is joined into
 components; then only pairs that share a signature and lie in different components are compared. All comparisons are exact, on
 the whole sets (64-bit hashes of shingles). So no link between components is lost, and groups of copies cost no pairs.
 
@@ -38,6 +40,7 @@ MOST_FREQUENT = 1 << 20  # frequent tokens that are broadcast, at most (8 MB)
 CLASSES = 32
 SHORT = 192
 BUCKETS = 1024  # parts of a shuffle partition's data that are held in memory one at a time
+PARITY = 1024
 FILTER_BITS = 1 << 23  # size of the filter of ids that need their sets
 
 
@@ -86,8 +89,9 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(mixed(s).sum(dtype=np.uint64).astype(np.int64)), int(mixed(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def frequent_tokens(docs: DataFrame, rare: int = RARE, most: int = MOST_FREQUENT, buckets: int = BUCKETS) -> np.ndarray:
-    """Sorted tokens of the band that are in more than `rare` documents (equal sets within a task counting once), `most` of them at most."""
+def frequent_tokens(docs: DataFrame, rare: int = RARE, most: int = MOST_FREQUENT, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens of the band that are in more than `rare` documents (equal sets within a task counting once), `most` of them at most,
+    and the bit length of each one's count."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, n = set(), [], 0
@@ -119,15 +123,28 @@ def frequent_tokens(docs: DataFrame, rare: int = RARE, most: int = MOST_FREQUENT
         if total > most:
             least = 1 << b
             break
-    tokens = counted.where(F.col("n") >= least).select("token").toArrow().column(0).combine_chunks()
-    return np.sort(np.asarray(tokens, dtype=np.int64).view(np.uint64))
+    found = counted.where(F.col("n") >= least).select("token", F.length(F.bin("n")).alias("b")).toArrow()
+    tokens = np.asarray(found.column(0), dtype=np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.asarray(found.column(1), dtype=np.uint8)[order]
 
 
-_PAIR, _SHORT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_PAIR, _SHORT, _PARITY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a document whose sorted tokens are s."""
+def parity(s: np.ndarray) -> np.ndarray:
+    """For each of PARITY hash classes, whether an odd number of tokens are in it. Two sets differ in as many tokens as parities, at least."""
+    odd = np.bincount((mixed(s ^ _PARITY) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def possible(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m tokens with parities x and y may link: a similarity of 0.8 means a difference of at most (n + m) / 9."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= n + m)
+
+
+def signatures(s: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The signatures of a document whose sorted tokens are s. frequent, level: of frequent_tokens()."""
     n = len(s)
     if not n:
         return s
@@ -135,8 +152,10 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     band = s[: np.searchsorted(s, BAND)]
     rest = s[len(band) :]
     if len(frequent):
-        hot = frequent[np.minimum(np.searchsorted(frequent, band), len(frequent) - 1)] == band
-        rare, hot = band[~hot], band[hot]
+        at = np.minimum(np.searchsorted(frequent, band), len(frequent) - 1)
+        hot = frequent[at] == band
+        rare, at = band[~hot], at[hot]
+        hot = frequent[at[np.argsort(level[at], kind="stable")]]
     else:
         rare, hot = band, band[:0]
     out = []
@@ -154,6 +173,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             hot, group = hot[:take], group[:take]
             for g in np.unique(group):
                 own = hot[group == g]
+                own = np.sort(own)
                 i, j = np.triu_indices(len(own), 1)
                 out.append(mixed(own[i] * _PAIR + mixed(own[j])))
             left -= int(survive[min(take, len(survive)) - 1]) if len(survive) else 0
@@ -165,28 +185,30 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, frequent) -> DataFrame:
-    """doc_id, n, h1, h2 (hash of the set), sigs (empty where the task has seen the set before)."""
+    """doc_id, n, h1, h2 (hash of the set), sigs (empty where the task has seen the set before), parities (likewise null)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen = frequent.value, set()
+        (tokens, level), seen = frequent.value, set()
         for batch in batches:
             ids = batch.column(0)
             null = np.asarray(ids.is_null())
             n, h1, h2 = (np.zeros(len(ids), np.int64) for _ in range(3))
             sigs: list = [None] * len(ids)
+            parities: list = [None] * len(ids)
             for row, s in _sets(batch):
                 n[row] = len(s)
                 if len(s):
                     h1[row], h2[row] = key = set_hash(s)
                     if not null[row] and key not in seen:
                         seen.add(key)
-                        sigs[row] = signatures(s, tokens).view(np.int64)
+                        sigs[row] = signatures(s, tokens, level).view(np.int64)
+                        parities[row] = parity(s).tobytes()
             lengths = np.array([0 if x is None else len(x) for x in sigs])
             flat = np.concatenate([x for x in sigs if x is not None] or [np.zeros(0, np.int64)])
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "h1", "h2", "sigs"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(parities, pa.binary())], ["doc_id", "n", "h1", "h2", "sigs", "parities"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sigs array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sigs array<long>, parities binary")
 
 
 def _lists(signed: DataFrame) -> DataFrame:
@@ -216,34 +238,52 @@ def _lists(signed: DataFrame) -> DataFrame:
     return _gather(shared, 2, meet, "kind int, a long, b long")
 
 
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.int64).reshape(len(column), PARITY // 64)
+
+
 def _across(members: DataFrame) -> DataFrame:
-    """members: sig, id, component, n. Distinct pairs (a < b) that share a signature, lie in different components and may link by size."""
+    """members: sig, id, component, n, parities. Distinct pairs (a < b) that share a signature, lie in different components and may link."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [np.asarray(c, dtype=np.int64) for c in batch.columns]
-            if len(columns[0]):
-                yield _scatter(columns[0].view(np.uint64), columns, BUCKETS)
+            columns = [np.asarray(c, dtype=np.int64) for c in batch.columns[:4]]
+            if len(batch):
+                yield _scatter(columns[0].view(np.uint64), [*columns, *_words(batch.column(4)).T], BUCKETS)
 
     def meet(rows: np.ndarray) -> pa.RecordBatch:
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         at = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        found, seen = [], set()
+        found, seen = [np.zeros((0, 2), np.int64)], set()
         for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(rows)], strict=True):
             if hi - lo < 2 or (key := rows[lo:hi, 1].tobytes()) in seen:
                 continue
             seen.add(key)
-            ids, comp, n = rows[lo:hi, 1], rows[lo:hi, 2], rows[lo:hi, 3]
+            own = rows[lo:hi]
             for i in range(hi - lo - 1):
-                ok = (comp[i + 1 :] != comp[i]) & (5 * np.minimum(n[i], n[i + 1 :]) >= 4 * np.maximum(n[i], n[i + 1 :]))
-                if ok.any():
-                    other = ids[i + 1 :][ok]
-                    found.append(np.stack([np.full(len(other), ids[i]), other], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                other = own[i + 1 :][own[i + 1 :, 2] != own[i, 2]]
+                other = other[possible(own[i, 3], other[:, 3], own[i, 4:], other[:, 4:]), 1]
+                if len(other):
+                    found.append(np.stack([np.full(len(other), own[i, 1]), other], axis=1))
+            if len(found) > 1000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    blobs = members.select("sig", "id", "component", "n").mapInArrow(emit, "bucket int, blob binary")
-    return _gather(blobs, 4, meet, "a long, b long").distinct()
+    blobs = members.select("sig", "id", "component", "n", "parities").mapInArrow(emit, "bucket int, blob binary")
+    return _gather(blobs, 4 + PARITY // 64, meet, "a long, b long").distinct()
+
+
+def _bounded(pairs: DataFrame) -> DataFrame:
+    """pairs: a, b, na, nb, pa, pb (sizes and parities). The pairs (a, b) that may link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (np.asarray(batch.column(k), dtype=np.int64) for k in (2, 3))
+            ok = pa.array(possible(n, m, _words(batch.column(4)), _words(batch.column(5))))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], ["a", "b"])
+
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -312,9 +352,8 @@ def near_components(docs: DataFrame, rare: int = RARE, every_link: bool = False)
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, rare))
     signed = stored(_signed(docs, frequent))
-    own = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    own = stored(own)
-    # a signed row that stands for its set, and what stands for the set everywhere
+    own = stored(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("parities").alias("parities")))
+    # a signed row's id, and the id that stands for its set everywhere
     names = stored(signed.where("size(sigs) > 0").select("doc_id", "h1", "h2").join(own, ["h1", "h2"]).select("doc_id", "rep", "n").distinct())
     lists = stored(_lists(signed))
     if every_link:
@@ -323,7 +362,8 @@ def near_components(docs: DataFrame, rare: int = RARE, every_link: bool = False)
         named = lists.where("kind = 1").select("a", "b").distinct()
         named = named.join(names.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na")), "a").join(names.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb")), "b")
         first = named.where("ra <> rb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        first = stored(first)
+        left, right = (own.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}")) for k in "ab")
+        first = stored(_bounded(first.join(left, "a").join(right, "b")))
         links = stored(verified(docs, first))
     members = lists.where("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("doc_id")).join(names, "doc_id").select("sig", F.col("rep").alias("id"), "n").distinct()
     if links is not None:
@@ -332,7 +372,7 @@ def near_components(docs: DataFrame, rare: int = RARE, every_link: bool = False)
         members = members.withColumn("component", F.col("id"))
     members = stored(members)
     mixed_lists = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    more = _across(members.join(mixed_lists, "sig", "left_semi"))
+    more = _across(members.join(mixed_lists, "sig", "left_semi").join(own.select(F.col("rep").alias("id"), "parities"), "id"))
     if first is not None:
         more = more.join(first, ["a", "b"], "left_anti")
     more = stored(verified(docs, stored(more)))
