@@ -1 +1,203 @@
-QUERIES, ORACLES = {}, {}
+"""Queries over spans derived from the order tables, and SQL that says the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..functions import timestats as T
+from ..operators import graph as G
+from ..operators import spans as sp
+from ..operators import stats as st
+from ..operators import stitch as R
+from .testspans import PATHS, SPANS, paths, spans
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+SNAPSHOTS = 27
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.with_keys(paths(spark, sf_dir))
+
+
+def _stats_sql(key: str) -> str:
+    p = ", ".join(f"round(CASE WHEN ceil(count(*) * {x}::DOUBLE) < count(*) THEN list_sort(list(duration_us))[ceil(count(*) * {x}::DOUBLE)::INT] / 1000 END, 6) p{round(x * 100)}_ms" for x in T.PERCENTILES)
+    return f"round(min(duration_us) / 1000, 6) min_ms, round(avg(duration_us) / 1000, 6) avg_ms, round(max(duration_us) / 1000, 6) max_ms, round(CASE WHEN count(*) >= 3 THEN quantile_cont(duration_us, 0.5) / 1000 END, 6) median_ms, {p}"
+
+
+ERRORS = "round(count(*) FILTER (http_status_code <> 200) / count(*), 6) frac_not_http_ok, round(count(*) FILTER (log_level = 'ERROR') / count(*), 6) frac_error_logs"
+OPER = f"SELECT service, operation, count(*) count, count(DISTINCT trace_id) num_traces, {_stats_sql('')}, {ERRORS} FROM spans GROUP BY service, operation"
+query("oper_stats", f"WITH {SPANS} {OPER}")(lambda s, d: st.oper_stats(spans(s, d)))
+query("service_stats", f"WITH {SPANS} SELECT service, count(DISTINCT trace_id) num_traces, count(*) FILTER (span_kind = 'server') num_received, count(*) FILTER (span_kind = 'client') num_outbound, count(*) FILTER (span_kind IS NULL OR span_kind NOT IN ('server', 'client')) num_unknown FROM spans GROUP BY service")(lambda s, d: st.service_stats(spans(s, d)))
+query("event_stats", f"WITH e AS (SELECT event_type operation, round(value * 1000)::BIGINT duration_us FROM events) SELECT operation, {_stats_sql('')} FROM e GROUP BY operation")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("operation"), F.round(F.col("value") * 1000).cast("long").alias("duration_us")).groupBy("operation").agg(*T.time_stats())
+)
+TRACES = """
+roots AS (SELECT trace_id, count(*) FILTER (parent_id IS NULL) num_roots FROM spans GROUP BY trace_id),
+traces AS (SELECT trace_id, min(file_id) file_id, count(*) num_spans, count(*) FILTER (parent_id IS NULL) num_roots,
+  CASE WHEN count(*) FILTER (parent_id IS NULL) = 1 THEN max(service || '/' || operation) FILTER (parent_id IS NULL) ELSE '_UNKNOWN_' END root_call,
+  min(start_us) start_us, max(start_us + duration_us) end_us,
+  CASE WHEN count(*) FILTER (parent_id IS NULL) = 1 THEN max(duration_us) FILTER (parent_id IS NULL) ELSE arg_min(duration_us, span_idx) END time_to_respond_us,
+  count(*) FILTER (parent_id LIKE 'lost-%') num_missing FROM spans GROUP BY trace_id),
+records AS (SELECT *, end_us - start_us duration_us, translate(root_call, '/\\;:', '____') endpoint FROM traces)"""
+query("trace_summary", f"WITH {SPANS}, {TRACES} SELECT * FROM records")(lambda s, d: sp.trace_records(paths(s, d)))
+query("trace_dedup", "WITH t AS (SELECT l_orderkey::VARCHAR trace_id, l_linenumber pos, l_partkey FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos, l_partkey) r FROM t) SELECT trace_id, pos, l_partkey FROM n WHERE r = 1")(
+    lambda s, d: sp.dedup_traces(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("trace_id"), F.col("l_linenumber").alias("pos"), "l_partkey"), ["pos", "l_partkey"])[0]
+)
+three = lambda c: f"min({c}) min_{c}, floor(sum({c}) / count(*))::BIGINT avg_{c}, max({c}) max_{c}"
+query("snapshot_summary", f"WITH {SPANS}, {TRACES} SELECT count(*) num_traces, count(DISTINCT file_id) num_files, count(DISTINCT endpoint) num_endpoints, count(*) FILTER (num_missing > 0) num_incomplete, {three('num_spans')}, {three('duration_us')}, {three('time_to_respond_us')} FROM records")(
+    lambda s, d: st.snapshot_summary(sp.trace_records(paths(s, d)))
+)
+query("root_call_counts", f"WITH {SPANS}, {TRACES} SELECT root_call, count(*) count FROM records GROUP BY root_call")(lambda s, d: sp.trace_records(paths(s, d)).groupBy("root_call").agg(F.count("*").alias("count")))
+query("span_parent", f"WITH RECURSIVE {PATHS} SELECT p.trace_id, p.span_idx, CASE WHEN p.parent_id IS NULL THEN 'Root' WHEN p.parent_id LIKE 'lost-%' THEN 'MissingParent' ELSE 'Parent' END AS position, q.span_idx parent_idx FROM paths p LEFT JOIN spans q ON p.trace_id = q.trace_id AND p.parent_id = q.span_id")(
+    lambda s, d: paths(s, d).select("trace_id", "span_idx", "position", "parent_idx")
+)
+query("span_flags", f"WITH RECURSIVE {PATHS} SELECT trace_id, span_idx, is_leaf, rooted FROM paths")(lambda s, d: paths(s, d).select("trace_id", "span_idx", "is_leaf", "rooted"))
+query("missing_spans", f"WITH {SPANS} SELECT trace_id, parent_id missing_id FROM spans WHERE parent_id LIKE 'lost-%'")(lambda s, d: paths(s, d).where("position = 'MissingParent'").select("trace_id", F.col("parent_id").alias("missing_id")))
+query("call_chain", f"WITH RECURSIVE {PATHS} SELECT trace_id, span_idx, depth, chain_key FROM chains")(lambda s, d: keyed(s, d).select("trace_id", "span_idx", F.col("depth").cast("long").alias("depth"), "chain_key"))
+query("chain_stats", f"WITH RECURSIVE {PATHS} SELECT chain_key, any_value(depth) AS depth, any_value(is_leaf) is_leaf, bool_and(rooted) rooted, count(*) count, {_stats_sql('')} FROM chains GROUP BY chain_key")(lambda s, d: st.chain_stats(keyed(s, d)).withColumn("depth", F.col("depth").cast("long")))
+query("chain_looped", f"WITH RECURSIVE {PATHS} SELECT trace_id, span_idx, array_to_string([x FOR x, i IN svcs IF list_contains(svcs[i + 2 :], x) AND list_position(svcs, x) = i], ',') loops FROM paths")(lambda s, d: keyed(s, d).select("trace_id", "span_idx", "loops"))
+query("chain_inbound_key", f"WITH RECURSIVE {PATHS} SELECT trace_id, span_idx, CASE WHEN list_contains(dirs, 'Inbound') THEN array_to_string([x FOR x, i IN plain IF dirs[i] = 'Inbound'], ', ') ELSE plain[1] END inbound_key FROM paths")(lambda s, d: keyed(s, d).select("trace_id", "span_idx", "inbound_key"))
+query("chain_parse_roundtrip", f"WITH RECURSIVE {PATHS} SELECT DISTINCT chain_key, chain_key AS again, depth FROM chains")(
+    lambda s, d: keyed(s, d).select("chain_key").distinct().withColumn("p", S.parse_chain(F.col("chain_key"))).select("chain_key", S.chain_key(F.col("p.chain"), F.col("p.caching"), F.col("p.is_leaf")).alias("again"), F.size("p.chain").cast("long").alias("depth"))
+)
+query("caching_label", f"WITH RECURSIVE {PATHS} SELECT trace_id, span_idx, CASE WHEN list_contains(svcs, 'svc1') OR list_contains(svcs, 'svc2') THEN ' [' || array_to_string([x FOR x IN svcs IF x IN ('svc1', 'svc2')], ', ') || ']' ELSE '' END caching_process FROM paths")(
+    lambda s, d: st.with_keys(paths(s, d), ["svc1", "svc2"]).select("trace_id", "span_idx", "caching_process")
+)
+query("chain_type_counts", f"WITH RECURSIVE {PATHS}, c AS (SELECT chain_key, bool_and(rooted) r, any_value(is_leaf) l FROM chains GROUP BY chain_key) SELECT CASE WHEN r AND l THEN 'end2end' WHEN r THEN 'partial' WHEN l THEN 'unrooted-leaf' ELSE 'floating' END chain_type, count(*) count FROM c GROUP BY 1")(
+    lambda s, d: st.chain_stats(keyed(s, d)).groupBy(S.chain_type(F.col("rooted"), F.col("is_leaf")).alias("chain_type")).agg(F.count("*").alias("count"))
+)
+query("chained_stats", f"WITH RECURSIVE {PATHS} SELECT replace(array_to_string(plain, '|'), '/api', 'api') path, count(*) count FROM paths GROUP BY 1")(
+    lambda s, d: keyed(s, d).groupBy(F.regexp_replace(F.array_join(F.transform("call_chain", lambda c: F.concat(c["service"], F.lit("/"), c["operation"])), "|"), "/api", "api").alias("path")).agg(F.count("*").alias("count"))
+)
+query("expected_root", f"WITH RECURSIVE {PATHS}, {TRACES}, n AS (SELECT chain_key, root_call, count(*) n, min((p.trace_id, p.span_idx)) seen FROM chains p JOIN records USING (trace_id) WHERE NOT rooted GROUP BY chain_key, root_call) SELECT chain_key, arg_min(root_call, (-n, seen)) expected_root FROM n GROUP BY chain_key")(
+    lambda s, d: st.expected_roots(keyed(s, d), sp.trace_records(paths(s, d)))
+)
+KNOWN = "known AS (SELECT DISTINCT endpoint, path, is_leaf FROM chains JOIN records USING (trace_id) WHERE rooted AND num_missing = 0)"
+query("known_chains", f"WITH RECURSIVE {PATHS}, {TRACES}, {KNOWN} SELECT endpoint, array_to_string(path, ' | ') AS chain, is_leaf FROM known")(
+    lambda s, d: st.known_chains(keyed(s, d), sp.trace_records(paths(s, d))).select("endpoint", F.array_join(F.transform("call_chain", S.call_text), " | ").alias("chain"), "is_leaf")
+)
+
+
+@query(
+    "chain_repair",
+    f"""WITH RECURSIVE {PATHS}, {TRACES}, {KNOWN}, x AS (SELECT endpoint, path AS whole, is_leaf wl, path[i :] suffix FROM known, unnest(range(1, len(path) + 1)) u(i)),
+  b AS (SELECT DISTINCT chain_key, endpoint, path, is_leaf FROM chains JOIN records USING (trace_id) WHERE NOT rooted AND num_roots = 1),
+  h AS (SELECT b.chain_key, b.endpoint, whole, wl, (b.is_leaf = wl) same, array_to_string(whole, ' | ') txt FROM b JOIN x ON b.endpoint = x.endpoint AND b.path = x.suffix)
+  SELECT chain_key, endpoint, count(*) matches, arg_max(txt, (same, txt)) || ' & & ' || CASE WHEN arg_max(wl, (same, txt, wl)) THEN ' *LEAF*' ELSE '' END new_key FROM h GROUP BY chain_key, endpoint HAVING count(*) <= 2""",
+)
+def chain_repair(s: SparkSession, d: str) -> DataFrame:
+    k, t = keyed(s, d), sp.trace_records(paths(s, d))
+    broken = k.where("NOT rooted").join(t.where("num_roots = 1").select("trace_id", "endpoint"), "trace_id").select("chain_key", "endpoint", "call_chain", "is_leaf").distinct()
+    return st.repair_chains(broken, st.known_chains(k, t))
+
+
+query("endpoint_stats", f"WITH {SPANS}, {TRACES} SELECT endpoint, count(*) num_traces, count(*) FILTER (num_missing > 0) num_incomplete, sum(num_spans)::BIGINT num_spans FROM records GROUP BY GROUPING SETS ((endpoint), ())")(
+    lambda s, d: sp.trace_records(paths(s, d)).rollup("endpoint").agg(F.count("*").alias("num_traces"), F.count_if(F.col("num_missing") > 0).alias("num_incomplete"), F.sum("num_spans").alias("num_spans"))
+)
+query("unify_operation", f"WITH {SPANS} SELECT operation_raw, operation, count(*) count FROM spans GROUP BY operation_raw, operation")(lambda s, d: spans(s, d).groupBy("operation_raw").agg(F.first("operation").alias("operation"), F.count("*").alias("count")))
+query("endpoint_key", f"WITH {SPANS} SELECT DISTINCT translate(service || operation_raw, '/\\;:', '____') AS endpoint FROM spans")(lambda s, d: spans(s, d).select(S.endpoint_key(F.concat("service", "operation_raw")).alias("endpoint")).distinct())
+query("log_truncate", "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN substr(text, 1, 100) || '...TRUNCATED' ELSE text END msg FROM documents")(lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.truncate_message(F.col("text")).alias("msg")))
+query("call_direction", f"WITH {SPANS} SELECT span_kind, call_direction, count(*) count FROM spans GROUP BY 1, 2")(lambda s, d: spans(s, d).groupBy("span_kind", "call_direction").agg(F.count("*").alias("count")))
+query("http_error_counts", f"WITH {SPANS} SELECT service, http_status_code, count(*) count FROM spans WHERE http_status_code IS NOT NULL GROUP BY 1, 2")(lambda s, d: spans(s, d).where("http_status_code IS NOT NULL").groupBy("service", "http_status_code").agg(F.count("*").alias("count")))
+query("chain_errors", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) FILTER (log_level = 'ERROR') n_errors, count(*) FILTER (http_status_code <> 200) n_not_ok FROM chains GROUP BY chain_key")(
+    lambda s, d: keyed(s, d).groupBy("chain_key").agg(F.count_if(F.col("log_level") == "ERROR").alias("n_errors"), F.count_if(S.http_not_ok(F.col("http_status_code"))).alias("n_not_ok"))
+)
+
+
+@query("tag_frequency", f"WITH {SPANS}, t AS (SELECT unnest([CASE WHEN span_kind IS NOT NULL THEN 'span.kind' END, CASE WHEN http_status_code IS NOT NULL THEN 'http.status_code' END, CASE WHEN log_level IS NOT NULL THEN 'log.level' END]) tag FROM spans) SELECT tag, count(*) count, round(100 * count(*) / (SELECT count(*) FROM spans), 6) percentage FROM t WHERE tag IS NOT NULL GROUP BY tag")
+def tag_frequency(s: SparkSession, d: str) -> DataFrame:
+    x = spans(s, d)
+    names = {"span_kind": "span.kind", "http_status_code": "http.status_code", "log_level": "log.level"}
+    n = x.agg(F.count("*").alias("_n"))
+    tags = x.select(F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(v)) for c, v in names.items()]))).alias("tag")).groupBy("tag").agg(F.count("*").alias("count"))
+    return tags.join(F.broadcast(n)).select("tag", "count", F.round(100 * F.col("count") / F.col("_n"), 6).alias("percentage"))
+
+
+query("error_traces", f"WITH {SPANS} SELECT trace_id, count(*) n_errors FROM spans WHERE http_status_code <> 200 OR log_level = 'ERROR' GROUP BY trace_id")(lambda s, d: spans(s, d).where("http_status_code <> 200 OR log_level = 'ERROR'").groupBy("trace_id").agg(F.count("*").alias("n_errors")))
+query("root_ref_check", f"WITH {SPANS} SELECT trace_id, count(*) FILTER (parent_id IS NULL) n_without FROM spans GROUP BY trace_id")(lambda s, d: spans(s, d).groupBy("trace_id").agg(F.count_if(F.col("parent_id").isNull()).alias("n_without")))
+RATE = """g AS (SELECT service, operation, start_us - lag(start_us) OVER (PARTITION BY service, operation ORDER BY start_us) gap FROM spans),
+n AS (SELECT *, row_number() OVER (PARTITION BY service, operation ORDER BY gap NULLS LAST) r, count(*) OVER (PARTITION BY service, operation) n FROM g),
+a AS (SELECT service, operation, n, avg(gap) FILTER (r <= n - 1 - 4) a, max(gap) FILTER (r = (n - 5) // 2 + 1) m FROM n GROUP BY service, operation, n)
+SELECT service, operation, round(CASE WHEN n >= 16 THEN CASE WHEN a = 0 THEN 'inf'::DOUBLE ELSE 1e6::DOUBLE / a END END, 6) avg_rate, round(CASE WHEN n >= 16 THEN CASE WHEN m = 0 THEN 'inf'::DOUBLE ELSE 1e6::DOUBLE / m END END, 6) median_rate FROM a"""
+query("rate", f"WITH {SPANS}, {RATE}")(lambda s, d: T.rates(spans(s, d), ["service", "operation"], outliers=4))
+VOLUME = "v AS (SELECT service, snapshot_id, count(*) FILTER (span_kind = 'server') num_received, count(*) FILTER (span_kind IS NULL OR span_kind NOT IN ('server', 'client')) num_unknown FROM spans GROUP BY 1, 2)"
+
+
+@query("drop_low_volume", f"WITH {SPANS}, {VOLUME} SELECT * FROM v WHERE service IN (SELECT service FROM v GROUP BY service HAVING sum(num_received + num_unknown) > 3000)")
+def drop_low_volume(s: SparkSession, d: str) -> DataFrame:
+    kind = F.col("span_kind")
+    v = spans(s, d).groupBy("service", "snapshot_id").agg(F.count_if(kind == "server").alias("num_received"), F.count_if(kind.isNull() | ~kind.isin("server", "client")).alias("num_unknown"))
+    return R.drop_low_volume(v, 3000)
+
+
+def _series(s: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    """Per key and snapshot: count and mean duration, one row a metric."""
+    g = spans(s, d).groupBy(*keys, F.col("snapshot_id").alias("x")).agg(F.count("*").cast("double").alias("count"), (F.sum("duration_us") / F.count("*") / 1000).alias("avg_ms"))
+    return g.unpivot([*keys, "x"], ["count", "avg_ms"], "metric", "y")
+
+
+def _series_sql(keys: str) -> str:
+    return f"""f AS (SELECT {keys}, snapshot_id x, count(*)::DOUBLE c, sum(duration_us)::DOUBLE / count(*) / 1000 a FROM spans GROUP BY {keys}, x),
+s AS (SELECT {keys}, x, 'count' metric, c y FROM f UNION ALL SELECT {keys}, x, 'avg_ms', a FROM f)"""
+
+
+def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _lines_sql(keys: str) -> str:
+    n = SNAPSHOTS - 1
+    return f"""w AS (SELECT *, regr_slope(y, x) OVER (PARTITION BY {keys}, metric) b, regr_intercept(y, x) OVER (PARTITION BY {keys}, metric) a FROM s),
+l AS (SELECT {keys}, metric, count(*) num_filled, avg(y) "avg", CASE WHEN count(*) >= 2 THEN any_value(b) END slope, CASE WHEN count(*) >= 2 THEN any_value(a) END "intercept", CASE WHEN count(*) >= 2 THEN coalesce(regr_r2(y, x), 1) END r2,
+  avg(abs(y - a - b * x)) l1, exp(regr_intercept(ln(y), x)) exp_a, exp(regr_slope(ln(y), x)) exp_b, regr_r2(ln(y), x) exp_r2, regr_slope(y, x) FILTER (x >= {SNAPSHOTS - 5}) st_slope, max(y) FILTER (x = {n}) AS last FROM w GROUP BY {keys}, metric),
+m AS (SELECT *, slope * {n} / ("intercept" + slope * {n} / 2) / ({n} / 2) lin_growth, exp_b - 1 exp_growth, CASE WHEN exp_r2 > r2 THEN 'exponential' WHEN slope IS NOT NULL THEN 'linear' ELSE 'none' END best_fit,
+  slope / (2 * "avg") scaled_slope, st_slope / (2 * "avg") scaled_st_slope, (last - "intercept" - slope * {n}) / l1 last_deviation_scaled, last - exp_a * pow(exp_b, {n}) last_exp_deviation FROM l),
+lines AS (SELECT *, CASE best_fit WHEN 'exponential' THEN exp_growth ELSE lin_growth END growth FROM m)"""
+
+
+_LINE = "num_filled, best_fit, " + ", ".join(f'round("{c}", 4) + 0.0::DOUBLE "{c}"' for c in "avg slope intercept r2 l1 exp_a exp_b exp_r2 st_slope last lin_growth exp_growth scaled_slope scaled_st_slope last_deviation_scaled last_exp_deviation growth".split())
+query("stitch_service", f"WITH {SPANS}, {_series_sql('service')}, {_lines_sql('service')} SELECT service, metric, {_LINE} FROM lines")(lambda s, d: _rounded(R.lines(_series(s, d, ["service"]), ["service", "metric"], SNAPSHOTS)))
+query("stitch_oper", f"WITH {SPANS}, {_series_sql('service, operation')}, {_lines_sql('service, operation')} SELECT service, operation, metric, {_LINE} FROM lines")(
+    lambda s, d: _rounded(R.lines(_series(s, d, ["service", "operation"]), ["service", "operation", "metric"], SNAPSHOTS))
+)
+query("anomalies", f"WITH {SPANS}, {_series_sql('service, operation')}, {_lines_sql('service, operation')}, z AS (SELECT service, operation, metric, CASE WHEN scaled_slope > 0.01 THEN scaled_slope END scaled_slope, CASE WHEN scaled_st_slope > 0.01 THEN scaled_st_slope END scaled_st_slope, CASE WHEN last_deviation_scaled > 1.5 THEN last_deviation_scaled END last_deviation_scaled FROM lines) SELECT service, operation, metric, round(scaled_slope, 4) scaled_slope, round(scaled_st_slope, 4) scaled_st_slope, round(last_deviation_scaled, 4) last_deviation_scaled FROM z WHERE scaled_slope IS NOT NULL OR scaled_st_slope IS NOT NULL OR last_deviation_scaled IS NOT NULL")(
+    lambda s, d: _rounded(R.anomalies(R.lines(_series(s, d, ["service", "operation"]), ["service", "operation", "metric"], SNAPSHOTS), 0.01, 0.01, 1.5))
+)
+query("column_selection", f"WITH {SPANS}, {_series_sql('service')} SELECT service, metric, (x - 4) // 2 x, round(y, 4) y FROM s WHERE x IN (4, 6, 8, 10)")(lambda s, d: _rounded(R.select_columns(_series(s, d, ["service"]), [4, 6, 8, 10])).withColumn("x", F.col("x").cast("long")))
+query("summary_pivot", f"WITH {SPANS}, {_series_sql('service')} SELECT service, round(avg(y) FILTER (metric = 'count'), 4) count_avg, round(avg(y) FILTER (metric = 'avg_ms'), 4) avg_ms_avg FROM s GROUP BY service")(
+    lambda s, d: _rounded(_series(s, d, ["service"]).groupBy("service").pivot("metric", ["count", "avg_ms"]).agg(F.avg("y")).withColumnsRenamed({"count": "count_avg", "avg_ms": "avg_ms_avg"}))
+)
+query("process_list_ranked", f"WITH {SPANS}, c AS (SELECT service || '/' || operation AS name, count(*) AS rank FROM spans GROUP BY 1) SELECT name, rank, row_number() OVER (ORDER BY rank DESC, name) idx FROM c")(
+    lambda s, d: R.ranked(spans(s, d).groupBy(F.concat("service", F.lit("/"), "operation").alias("name")).agg(F.count("*").alias("rank")), "rank", "name")
+)
+query("process_list_lexical", f"WITH {SPANS}, c AS (SELECT DISTINCT service || '/' || operation AS name FROM spans) SELECT name, row_number() OVER (ORDER BY name) idx, count(*) OVER () - row_number() OVER (ORDER BY name) + 1 AS rank FROM c")(
+    lambda s, d: R.lexicographic(spans(s, d).select(F.concat("service", F.lit("/"), "operation").alias("name")).distinct(), "name")
+)
+query("chain_list_inbound", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) count FROM chains WHERE plain[len(plain)] = 'svc1/api/' || 'A/{{ACCOUNT}}' OR plain[len(plain)] LIKE 'svc1/%' GROUP BY chain_key")(
+    lambda s, d: keyed(s, d).where(F.element_at("call_chain", -1)["service"] == "svc1").groupBy("chain_key").agg(F.count("*").alias("count"))
+)
+query("chain_list_end2end", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) count FROM chains WHERE plain[len(plain)] NOT LIKE 'svc1/%' AND contains(chain_key, 'svc1/') AND is_leaf GROUP BY chain_key")(
+    lambda s, d: keyed(s, d).where((F.element_at("call_chain", -1)["service"] != "svc1") & F.contains("chain_key", F.lit("svc1/")) & F.col("is_leaf")).groupBy("chain_key").agg(F.count("*").alias("count"))
+)
+query("graph_edges", f"WITH RECURSIVE {PATHS}, e AS (SELECT svcs[-2] from_service, plain[-2][len(svcs[-2]) + 2 :] from_operation, svcs[-1] to_service, plain[-1][len(svcs[-1]) + 2 :] to_operation, duration_us FROM paths WHERE depth >= 2) SELECT from_service, from_operation, to_service, to_operation, count(*) count, round(avg(duration_us) / 1000, 6) avg_ms FROM e GROUP BY ALL")(lambda s, d: G.edges(keyed(s, d)))
+query("graph_compact", f"WITH RECURSIVE {PATHS} SELECT svcs[-2] from_service, svcs[-1] to_service, count(*) count FROM paths WHERE depth >= 2 GROUP BY 1, 2")(lambda s, d: G.compact(G.edges(keyed(s, d))))
+query("graph_positions", f"WITH RECURSIVE {PATHS}, x AS (SELECT unnest(svcs) service, unnest(range(1, len(svcs) + 1)) i, list_position(svcs, 'svc1') AS mid FROM paths WHERE list_contains(svcs, 'svc1')), r AS (SELECT service, max(CASE WHEN service = 'svc1' THEN 5 WHEN i < mid THEN 2 ELSE 1 END) r FROM x GROUP BY service) SELECT service, ['Unknown', 'Outbound', 'Inbound', 'OutboundCenter', 'InboundCenter', 'Center'][r + 1] AS position FROM r")(lambda s, d: G.positions(keyed(s, d), "svc1"))
+query("graph_reachable", f"WITH RECURSIVE {PATHS} SELECT regexp_extract(chain_key, '^.*svc1/') prefix, count(*) count FROM chains WHERE contains(chain_key, 'svc1/') GROUP BY 1")(lambda s, d: G.reachable(keyed(s, d), "svc1"))
+query("process_nodes", f"WITH RECURSIVE {PATHS}, x AS (SELECT unnest([(svcs[i], CASE WHEN dirs[i] <> 'Outbound' AND (i = 1 OR svcs[i - 1] <> svcs[i]) THEN 'Inbound' ELSE dirs[i] END, plain[i][len(svcs[i]) + 2 :]) FOR i IN range(1, len(svcs) + 1)]) r FROM paths) SELECT r[1] service, r[2] direction, r[3] AS operation, count(*) count FROM x GROUP BY ALL")(lambda s, d: G.process_nodes(keyed(s, d)))
+query("string_hash")(lambda s, d: spans(s, d).select("operation").distinct().withColumn("hash", S.string_hash(F.col("operation"))))
+query("label_list", "SELECT o_orderkey, ['Jan','Febr','March','April','May','June','July','Aug','Sept','Oct','Nov','Dec'][month(o_orderdate)] || '-' || strftime(o_orderdate, '%d') AS label FROM orders")(
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.month_label(F.concat(F.lit("export "), F.date_format("o_orderdate", "yyyyMMdd")), F.col("o_orderkey")).alias("label"))
+)
