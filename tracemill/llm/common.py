@@ -55,7 +55,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(offsets: np.ndarray, most: int = 4 << 20):
+def chunks(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of rows of about `most` bytes; a longer text has a range of its own."""
     first = 0
     while first < len(offsets) - 1:

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 END = 1
 NAME = "word_bpe_49k.json"
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 500_000
 
 
 def tokenizer_path() -> str:
@@ -64,7 +64,7 @@ class Encoder:
         return [b"".join(map(find, own)) + self.end for own in pieces]
 
 
-def encoded(batch: pa.RecordBatch, path: str, column: int = 1, most: int = 8 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def encoded(batch: pa.RecordBatch, path: str, column: int = 1, most: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, last row, ids of each) for parts of a batch of about `most` characters."""
     encoder = Encoder.of(path)
     texts, first, size = [], 0, 0
