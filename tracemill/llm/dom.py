@@ -72,9 +72,9 @@ def parse(page: str | None) -> Node:
                     break
                 x = x.parent
         element = Node(tag, now, m[3] or "")
-        if tag in RAW and not (m[3] or "").endswith("/"):
+        if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
+        elif tag not in VOID:  # a slash at the end closes nothing in HTML
             now = element
     return root

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .dom import BLOCK, Node, parse
 
-TRAINING_PAGES, ROUNDS, RATE, RIDGE, SEED = 300, 80, 0.5, 1e-4, 11
+TRAINING_PAGES, ROUNDS, RATE, RIDGE, SEED = 300, 80, 1.5, 1e-4, 11
 _HINTS = {
     "h:ad": r"\bads?\b|advert|sponsor|promo|banner", "h:nav": r"\bnav|menu|breadcrumb|pagination|\btoc\b|skip", "h:frame": r"header|footer|masthead|copyright|legal",
     "h:side": r"side|\brelated|recommend|widget|popular|trending", "h:notice": r"cookie|consent|gdpr|notice|popup|modal|alert|newsletter|subscribe|signup|login",
@@ -217,7 +217,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[Node
 
     out = []
     for _ in range(n):
-        nav = r.choice(["<nav cut><ul>{}</ul></nav>", "<div cut class='menu'><ul>{}</ul></div>", "<ul cut id='main-nav'>{}</ul>", "<div cut class=breadcrumbs>{}</div>"]).format(links(r.randint(1, 9)))
+        nav = r.choice(["<nav cut><ul>{}</ul></nav>", "<nav cut>{}</nav>", "<div cut class='menu'><ul>{}</ul></div>", "<ul cut id='main-nav'>{}</ul>", "<div cut class=breadcrumbs>{}</div>"]).format(links(r.randint(1, 9)))
         head = r.choice([f"<header cut><h1>{words(1, 3)}</h1><p>{words(2, 8)}</p></header>", f"<div cut id='header'>{words(1, 6)}</div>", f"<header cut>{nav}</header>", ""])
         ad = r.choice([f"<div cut class='ad'>{words(3, 14)}</div>", f"<div cut class='advert'><a href='/b'>{words(2, 8)}</a></div>", f"<aside cut class=sponsored><p>{words(4, 30)}</p></aside>", f"<ins cut class='ad-banner'>{words(2, 9)}</ins>"])
         side = r.choice([f"<aside cut><h3>{words(1, 3)}</h3><ul>{links(4)}</ul><p>{words(3, 30)}</p></aside>", f"<div cut class='sidebar'><p>{words(5, 40)}</p><ul>{links(3)}</ul></div>", f"<section cut class='related'><h2>{words(1, 3)}</h2><ul>{links(4)}</ul></section>"])
