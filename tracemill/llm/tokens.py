@@ -1,20 +1,32 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once.
+"""Token ids of whole texts by the tokenizers library, each distinct split of a text encoded once.
 
-The tokenizer in use drops white space before it splits words, so a text's ids are those of its white-space separated pieces in
-order. Ids of pieces are kept in a bounded table of each Python worker. Null text counts as empty; each document ends with END.
+The tokenizer in use lower-cases, drops white space and splits by a pattern before its model sees a text. For texts of plain
+characters that pattern is applied here, and each distinct split goes to the library's model alone. A word of other characters, or
+one that holds a special token, takes the library's whole path. Ids of splits are kept in a bounded table of each Python worker.
+Null text counts as empty; each document ends with END.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 END = 1
 NAME = "word_bpe_49k.json"
-KEPT_WORDS = 500_000
+KEPT_SPLITS = 250_000
+LONG_SPLIT = 64  # characters; longer ones are not kept
+#: Characters whose normal form, case and class no Unicode version disputes: all below U+0500 but controls, combining accents, and two
+#: letters whose lower case depends on their place or is longer.
+PLAIN = "!-~\u00a1-\u012f\u0131-\u02ff\u0370-\u03a2\u03a4-\u04ff"
+_PLAIN_TEXT = regex.compile(f"[ \\t-\\r{PLAIN}]*+").fullmatch
 
 
 def tokenizer_path() -> str:
@@ -23,6 +35,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(NAME)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: its own where it prints, else the next from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Splits(dict):
+    """The ids of lower-cased splits, as bytes; made when first asked for."""
+
+    def __init__(self, model, kind: np.dtype):
+        self.model, self.code = model, kind.char
+        self.letters = _byte_letters()
+
+    def __missing__(self, split: str) -> bytes:
+        named = split if split.isascii() else split.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, [t.id for t in self.model.tokenize(named)]).tobytes()
+        if len(split) <= LONG_SPLIT:
+            self[split] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts; one for each worker and file."""
 
@@ -35,8 +69,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
         self.end = np.array([END], self.kind).tobytes()
+        self.splits = _Splits(self.tokenizer.model, self.kind)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        pattern = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(pattern).findall
+        self.cut_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        self.special = tuple(t["content"] for t in made["added_tokens"])
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -44,24 +84,29 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _plain(self, text: str) -> bool:
+        return bool(_PLAIN_TEXT(text)) and not any(t in text for t in self.special) and (text.isascii() or unicodedata.is_normalized("NFC", text))
+
+    def _ids(self, text: str) -> bytes:
+        if self._plain(text):
+            low = text.lower()
+            return b"".join(map(self.splits.__getitem__, self.cut_ascii(low) if low.isascii() else self.cut(low)))
+        words = re.split("[ \t-\r]+", text)
+        if len(words) > 1:
+            return b"".join([self._ids(w) for w in words])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text, its ids and END as little-endian integers of self.kind."""
-        pieces, new = [], set()
+        """For each text, its ids and END as integers of self.kind."""
+        out = []
         for t in texts:
-            b = (t or "").encode("utf-8", "surrogatepass")
-            own = (b.lower() if b.isascii() else b).split()  # the normalizer lower-cases as well
-            pieces.append(own)
-            new.update(own)
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        missing = [w for w in new if w not in known]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, self.kind).tobytes()
-        find = known.__getitem__
-        return [b"".join(map(find, own)) + self.end for own in pieces]
+            if len(self.splits) > KEPT_SPLITS:
+                self.splits.clear()
+            t = t or ""
+            if not t.isascii():
+                t = t.encode("utf-8", "replace").decode()  # lone surrogates
+            out.append(self._ids(t) + self.end)
+        return out
 
 
 def encoded(batch: pa.RecordBatch, path: str, column: int = 1, most: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
