@@ -25,6 +25,7 @@ from .tokens import Encoder, encoded, tokenizer_path
 
 LONGEST = 18  # bits of a code word, at most
 BLOCK = 1 << 18
+COUNTED = 1 << 20  # ids counted at once
 STEP = 128
 
 
@@ -126,11 +127,13 @@ def _counts(tokens: DataFrame, vocabulary: int, kind: np.dtype) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocabulary) if len(x.as_buffer()) > vocabulary else 0
-            small = [x.as_buffer() for x in batch.column(0) if len(x.as_buffer()) <= vocabulary]
-            if small:
-                total += np.bincount(np.frombuffer(b"".join(small), kind), minlength=vocabulary)
+            wide = np.int64 if pa.types.is_large_binary(batch.column(0).type) else np.int32
+            offsets = np.frombuffer(batch.column(0).buffers()[1], wide)[batch.column(0).offset :][: len(batch) + 1]
+            data = batch.column(0).buffers()[2]
+            if len(batch) and data is not None:
+                ids = np.frombuffer(data, kind, (int(offsets[-1]) - int(offsets[0])) // kind.itemsize, int(offsets[0]))
+                for i in range(0, len(ids), COUNTED):
+                    total += np.bincount(ids[i : i + COUNTED], minlength=vocabulary)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["id", "n"])
 

@@ -14,6 +14,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import regex
 
 END = 1
 NAME = "word_bpe_49k.json"
-KEPT_SPLITS = 250_000
+KEPT_SPLITS = 400_000
 LONG_SPLIT = 64  # characters; longer ones are not kept
 #: Characters whose normal form, case and class no Unicode version disputes: all below U+0500 but controls, combining accents, and two
 #: letters whose lower case depends on their place or is longer.
@@ -34,6 +35,8 @@ def tokenizer_path() -> str:
 
     return public_tokenizers.path(NAME)
 
+_ID = attrgetter("id")
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: its own where it prints, else the next from U+0100."""
@@ -42,6 +45,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _class(category: str) -> str:
+    """The characters of PLAIN of a category, for a pattern's brackets."""
+    return "".join(c for c in map(chr, range(0x500)) if unicodedata.category(c).startswith(category) and _PLAIN_TEXT(c))
+
+
 class _Splits(dict):
     """The ids of lower-cased splits, as bytes; made when first asked for."""
 
@@ -51,7 +59,7 @@ class _Splits(dict):
 
     def __missing__(self, split: str) -> bytes:
         named = split if split.isascii() else split.encode().decode("latin-1").translate(self.letters)
-        ids = array(self.code, [t.id for t in self.model.tokenize(named)]).tobytes()
+        ids = array(self.code, map(_ID, self.model.tokenize(named))).tobytes()
         if len(split) <= LONG_SPLIT:
             self[split] = ids
         return ids
@@ -74,8 +82,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pattern = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = regex.compile(pattern).findall
-        self.cut_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        self.cut = re.compile(pattern.replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N"))).findall
         self.special = tuple(t["content"] for t in made["added_tokens"])
 
     @classmethod
@@ -89,8 +96,7 @@ class Encoder:
 
     def _ids(self, text: str) -> bytes:
         if self._plain(text):
-            low = text.lower()
-            return b"".join(map(self.splits.__getitem__, self.cut_ascii(low) if low.isascii() else self.cut(low)))
+            return b"".join(map(self.splits.__getitem__, self.cut(text.lower())))
         words = re.split("[ \t-\r]+", text)
         if len(words) > 1:
             return b"".join([self._ids(w) for w in words])
