@@ -1,34 +1,78 @@
-"""Order statistics of durations (µs) in milliseconds, and rates of start times."""
+"""Order statistics of durations (µs) in milliseconds, and rates of start times.
+
+Both come from histograms that are pre-aggregated by value, cut into buckets of values: ranks are sums over buckets plus ranks
+within one, so no task holds a key's values in memory and a hot key is spread over its buckets.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTILES = (0.75, 0.9, 0.95, 0.99)
+#: Bits of a bucket of values: 65 ms of durations.
+BUCKET_BITS = 16
+
+
+def same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a joined with b on keys, where null equals null; b's keys are dropped."""
+    b = b.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    return a.join(b, on).drop(*[f"_j_{k}" for k in keys])
 
 
-def percentile_ms(d: str, p: float) -> Column:
-    """The ceil(n * p)-th smallest; null if that is the last."""
-    n = F.count(d)
-    return F.when(F.ceil(n * F.lit(float(p))) < n, F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY {d})") / 1000)
+def cumulated(df: DataFrame, keys: list[str], value: str, flags: list[str] | None = None) -> DataFrame:
+    """keys, value, flags, _c (rows), _upto (rows of the key up to here, by value), _n (rows of the key). Null values have no rank."""
+    h = df.groupBy(*keys, value, *(flags or [])).agg(F.count("*").alias("_c")).withColumn("_b", F.shiftright(value, BUCKET_BITS))
+    ranked = F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.col("_c"))
+    key = Window.partitionBy(*keys)
+    upto = key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    b = h.groupBy(*keys, "_b").agg(F.sum(ranked).alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_base"), F.sum("_s").over(key).alias("_n"))
+    own = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return same(h, b, [*keys, "_b"]).withColumn("_upto", F.col("_base") + F.sum(ranked).over(own)).drop("_b", "_base")
+
+
+def at_rank(rank: Column, value: str) -> Column:
+    """The value of that rank (from 1), of rows that cumulated() made."""
+    return F.min(F.when(F.col("_upto") >= rank, F.col(value)))
 
 
 def time_stats(d: str = "duration_us") -> list[Column]:
+    """Of rows that cumulated() made. Percentile p is the ceil(n * p)-th smallest, null if that is the last; the median needs 3 values."""
+    n = F.col("_n")
+    most = F.max("_n")
+    weight = F.when(F.col(d).isNotNull(), F.col("_c"))
+    middle = (at_rank(F.floor((n + 1) / 2), d) + at_rank(F.floor(n / 2) + 1, d)) / 2
     return [
-        F.round(F.min(d) / 1000, 6).alias("min_ms"), F.round(F.avg(d) / 1000, 6).alias("avg_ms"), F.round(F.max(d) / 1000, 6).alias("max_ms"),
-        F.round(F.when(F.count(d) >= 3, F.percentile(d, F.lit(0.5)) / 1000), 6).alias("median_ms"),
-        *[F.round(percentile_ms(d, p), 6).alias(f"p{round(100 * p)}_ms") for p in PERCENTILES],
+        F.round(F.min(d) / 1000, 6).alias("min_ms"), F.round(F.sum(F.col(d) * F.col("_c")) / F.sum(weight) / 1000, 6).alias("avg_ms"), F.round(F.max(d) / 1000, 6).alias("max_ms"),
+        F.round(F.when(most >= 3, middle / 1000), 6).alias("median_ms"),
+        *[F.round(F.when(F.ceil(most * F.lit(float(p))) < most, at_rank(F.ceil(n * F.lit(float(p))), d) / 1000), 6).alias(f"p{round(100 * p)}_ms") for p in PERCENTILES],
     ]
 
 
-def rates(df: DataFrame, keys: list[str], start: str = "start_us", outliers: int = 0, least: int = 12) -> DataFrame:
-    """keys, avg_rate, median_rate (per second) of start times; null under outliers + `least` starts. The largest `outliers` gaps don't count."""
-    gaps = df.select(*keys, (F.col(start) - F.lag(start).over(Window.partitionBy(*keys).orderBy(start))).alias("gap"))
-    by_gap = Window.partitionBy(*keys).orderBy(F.col("gap").asc_nulls_last())
-    whole = Window.partitionBy(*keys)
-    gaps = gaps.withColumn("_r", F.row_number().over(by_gap)).withColumn("_n", F.count("*").over(whole))
-    kept = F.col("_n") - 1 - outliers
-    own = gaps.groupBy(*keys, "_n").agg(F.avg(F.when(F.col("_r") <= kept, F.col("gap"))).alias("_a"), F.max(F.when(F.col("_r") == F.floor(kept / 2) + 1, F.col("gap"))).alias("_m"))
-    rate = lambda g: F.when(F.col("_n") >= outliers + least, F.when(g == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1e6), g)))
-    return own.select(*keys, F.round(rate(F.col("_a")), 6).alias("avg_rate"), F.round(rate(F.col("_m")), 6).alias("median_rate"))
+#: Width in µs of the slices of time whose starts are put in order together: an hour.
+SLICE_US = 3_600_000_000
+
+
+def rates(df: DataFrame, keys: list[str], start: str = "start_us", outliers: int | str = 0, least: int = 12) -> DataFrame:
+    """keys, avg_rate, median_rate (per second) of start times; null under outliers + `least` starts. The largest `outliers` gaps don't
+    count (a number, or a column that is constant within keys). Gaps within a slice of time come from its own starts, gaps between from its first and the last before."""
+    own = [outliers] if isinstance(outliers, str) else []
+    x = df.where(F.col(start).isNotNull()).select(*keys, *own, F.col(start).alias("_t"), F.floor(F.col(start) / SLICE_US).alias("_s"))
+    inner = x.withColumn("_gap", F.col("_t") - F.lag("_t").over(Window.partitionBy(*keys, "_s").orderBy("_t"))).where("_gap IS NOT NULL").select(*keys, "_gap")
+    ends = x.groupBy(*keys, "_s").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    between = ends.select(*keys, (F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_s"))).alias("_gap"))
+    g = cumulated(inner.unionByName(between), keys, "_gap")  # a key's first start is a row without a gap
+    if own:
+        g = same(g, x.groupBy(*keys).agg(F.max(outliers).alias("_out")), keys)
+    else:
+        g = g.withColumn("_out", F.lit(outliers))
+    kept = F.greatest(F.col("_n") - F.col("_out"), F.lit(0))
+    inside = F.greatest(F.least(F.col("_upto"), kept) - (F.col("_upto") - F.col("_c")), F.lit(0))
+    a = g.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), F.max("_out").alias("_out"), (F.try_divide(F.sum(F.col("_gap") * inside), F.max(kept))).alias("_a"), at_rank(F.floor(kept / 2) + 1, "_gap").alias("_m"),
+    )
+    rate = lambda gap: F.when(F.col("_n") + 1 >= F.col("_out") + least, F.when(gap == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1e6), gap)))
+    return a.select(*keys, F.round(rate(F.col("_a")), 6).alias("avg_rate"), F.round(rate(F.col("_m")), 6).alias("median_rate"))

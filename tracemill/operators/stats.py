@@ -9,16 +9,22 @@ from ..functions import scalar as S
 from ..functions import timestats as T
 
 
-def error_counts() -> list[Column]:
-    return [
-        F.round(F.count_if(S.http_not_ok(F.col("http_status_code"))) / F.count("*"), 6).alias("frac_not_http_ok"),
-        F.round(F.count_if(F.col("log_level") == "ERROR") / F.count("*"), 6).alias("frac_error_logs"),
-    ]
+def flagged(spans: DataFrame) -> DataFrame:
+    """spans with _bad and _err: whether its HTTP status isn't 200, and whether it logged an error."""
+    return spans.withColumns({"_bad": F.coalesce(S.http_not_ok(F.col("http_status_code")), F.lit(False)), "_err": F.coalesce(F.col("log_level") == "ERROR", F.lit(False))})
+
+
+def measures() -> list[Column]:
+    """count, order statistics and error fractions, of flagged spans that cumulated() made."""
+    share = lambda c: F.round(F.coalesce(F.sum(F.when(F.col(c), F.col("_c"))), F.lit(0)) / F.sum("_c"), 6)
+    return [F.sum("_c").alias("count"), *T.time_stats(), share("_bad").alias("frac_not_http_ok"), share("_err").alias("frac_error_logs")]
 
 
 def oper_stats(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per key: count, num_traces, order statistics and error fractions."""
     keys = keys or ["service", "operation"]
-    return spans.groupBy(*keys).agg(F.count("*").alias("count"), F.countDistinct("trace_id").alias("num_traces"), *T.time_stats(), *error_counts())
+    own = T.cumulated(flagged(spans), keys, "duration_us", ["_bad", "_err"]).groupBy(*keys).agg(*measures())
+    return T.same(own, spans.groupBy(*keys).agg(F.countDistinct("trace_id").alias("num_traces")), keys)
 
 
 def service_stats(spans: DataFrame) -> DataFrame:
@@ -40,9 +46,8 @@ def with_keys(paths: DataFrame, caching: list[str] | None = None) -> DataFrame:
 
 def chain_stats(keyed: DataFrame) -> DataFrame:
     """One row per chain. Its rooted is that of all its spans together, so it doesn't depend on their order."""
-    return keyed.groupBy("chain_key").agg(
-        F.first("depth").alias("depth"), F.first("is_leaf").alias("is_leaf"), F.bool_and("rooted").alias("rooted"), F.count("*").alias("count"), *T.time_stats(),
-    )
+    h = T.cumulated(keyed, ["chain_key"], "duration_us", ["depth", "is_leaf", "rooted"])
+    return h.groupBy("chain_key").agg(F.first("depth").alias("depth"), F.first("is_leaf").alias("is_leaf"), F.bool_and("rooted").alias("rooted"), F.sum("_c").alias("count"), *T.time_stats())
 
 
 def snapshot_summary(traces: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ OPER = f"SELECT service, operation, count(*) count, count(DISTINCT trace_id) num
 query("oper_stats", f"WITH {SPANS} {OPER}")(lambda s, d: st.oper_stats(spans(s, d)))
 query("service_stats", f"WITH {SPANS} SELECT service, count(DISTINCT trace_id) num_traces, count(*) FILTER (span_kind = 'server') num_received, count(*) FILTER (span_kind = 'client') num_outbound, count(*) FILTER (span_kind IS NULL OR span_kind NOT IN ('server', 'client')) num_unknown FROM spans GROUP BY service")(lambda s, d: st.service_stats(spans(s, d)))
 query("event_stats", f"WITH e AS (SELECT event_type operation, round(value * 1000)::BIGINT duration_us FROM events) SELECT operation, {_stats_sql('')} FROM e GROUP BY operation")(
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("operation"), F.round(F.col("value") * 1000).cast("long").alias("duration_us")).groupBy("operation").agg(*T.time_stats())
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("operation"), F.round(F.col("value") * 1000).cast("long").alias("duration_us")).transform(T.cumulated, ["operation"], "duration_us").groupBy("operation").agg(*T.time_stats())
 )
 TRACES = """
 roots AS (SELECT trace_id, count(*) FILTER (parent_id IS NULL) num_roots FROM spans GROUP BY trace_id),
