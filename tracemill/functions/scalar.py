@@ -65,6 +65,11 @@ def call_text(c: Column) -> Column:
     return F.when(c["call_direction"] == "Unknown", name).otherwise(F.concat(name, F.lit(" ["), c["call_direction"], F.lit("]")))
 
 
+def plain_call(c: Column) -> Column:
+    """service/operation."""
+    return F.concat(c["service"], F.lit("/"), c["operation"])
+
+
 def chain_key(chain: Column, caching: Column, is_leaf: Column) -> Column:
     return F.concat(F.array_join(F.transform(chain, call_text), " | "), F.lit(" & "), caching, F.lit("& "), F.when(is_leaf, F.lit(LEAF)).otherwise(F.lit("")))
 

@@ -75,10 +75,11 @@ def merge_known(known: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def repair_chains(broken: DataFrame, known: DataFrame) -> DataFrame:
-    """broken: chain_key, endpoint, call_chain, is_leaf. Where exactly one known chain of the endpoint ends with a broken one it is adopted;
-    of two, the one of equal is_leaf, else the last. Suffixes are exploded, so the match is an equi join."""
-    suffixes = known.select("endpoint", F.col("call_chain").alias("full"), F.col("is_leaf").alias("full_leaf"), F.explode(F.transform(F.sequence(F.lit(1), F.size("call_chain")), lambda i: F.slice("call_chain", i, F.size("call_chain")))).alias("suffix"))
-    hits = broken.join(suffixes, (broken.endpoint == suffixes.endpoint) & (broken.call_chain == suffixes.suffix)).drop(suffixes.endpoint)
+    """broken: chain_key, endpoint, call_chain, caching_process, is_leaf. Where exactly one known chain of the endpoint ends with a broken one it is adopted;
+    of two, the one of equal is_leaf, else the last. The caching label stays. Suffixes are exploded, so the match is an equi join."""
+    suffixes = known.select(F.col("endpoint").alias("_endpoint"), F.col("call_chain").alias("full"), F.col("is_leaf").alias("full_leaf"), F.explode(F.transform(F.sequence(F.lit(1), F.size("call_chain")), lambda i: F.slice("call_chain", i, F.size("call_chain")))).alias("suffix"))
+    hits = broken.join(suffixes, (F.col("endpoint") == F.col("_endpoint")) & (F.col("call_chain") == F.col("suffix")))
     order = F.struct((F.col("is_leaf") == F.col("full_leaf")).alias("same"), F.array_join(F.transform("full", S.call_text), " | ").alias("text"), "full", "full_leaf")
-    best = hits.groupBy("chain_key", "endpoint").agg(F.count("*").alias("matches"), F.max(order).alias("best")).where("matches <= 2")
-    return best.select("chain_key", "endpoint", "matches", S.chain_key(F.col("best.full"), F.lit(""), F.col("best.full_leaf")).alias("new_key"))
+    best = hits.groupBy("chain_key", "endpoint").agg(F.count("*").alias("matches"), F.first("caching_process").alias("caching"), F.max(order).alias("best")).where("matches <= 2")
+    new = S.chain_key(F.col("best.full"), F.col("caching"), F.col("best.full_leaf"))
+    return best.select("chain_key", "endpoint", "matches", new.alias("new_key"), F.col("best.full").alias("new_chain"), F.col("best.full_leaf").alias("new_leaf"))

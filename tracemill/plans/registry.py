@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import timestats as T
 from ..operators import graph as G
+from ..operators import snapshot as sn
 from ..operators import spans as sp
 from ..operators import stats as st
 from ..operators import stitch as R
@@ -100,8 +101,8 @@ query("known_chains", f"WITH RECURSIVE {PATHS}, {TRACES}, {KNOWN} SELECT endpoin
 )
 def chain_repair(s: SparkSession, d: str) -> DataFrame:
     k, t = keyed(s, d), sp.trace_records(paths(s, d))
-    broken = k.where("NOT rooted").join(t.where("num_roots = 1").select("trace_id", "endpoint"), "trace_id").select("chain_key", "endpoint", "call_chain", "is_leaf").distinct()
-    return st.repair_chains(broken, st.known_chains(k, t))
+    broken = k.where("NOT rooted").join(t.where("num_roots = 1").select("trace_id", "endpoint"), "trace_id").select("chain_key", "endpoint", "call_chain", "caching_process", "is_leaf").distinct()
+    return st.repair_chains(broken, st.known_chains(k, t)).drop("new_chain", "new_leaf")
 
 
 query("endpoint_stats", f"WITH {SPANS}, {TRACES} SELECT endpoint, count(*) num_traces, count(*) FILTER (num_missing > 0) num_incomplete, sum(num_spans)::BIGINT num_spans FROM records GROUP BY GROUPING SETS ((endpoint), ())")(
