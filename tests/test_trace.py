@@ -96,7 +96,7 @@ def test_json_ingest_and_viewer(spark, tmp_path):
     assert (r.service, r.operation, r.http_status_code, r.attributes, r.log_level) == ("svc", "/é/{ACCOUNT}", 500, {"x": "true"}, "ERROR")
     assert r.logs[0].msg == "m" * 100 + "...TRUNCATED"
     keyed = st.with_keys(sp.with_paths(spans))
-    assert "-->|1|" in Viewer(spans, keyed, 1).diagram("svc")
+    assert "graph LR" in Viewer(spans, keyed, 1).diagram("svc")
     assert jaeger.stitch_list(["# head", "% gap", "x/a.json # one", ""], "/b") == [(None, "head", None), (0, "gap", None), (1, "one", "/b/x/a.json")]
 
 

@@ -1,37 +1,86 @@
-"""python -m tracemill.cli trace_analysis FOLDER OUT | mermaid FOLDER [--service S --scope SCOPE --compact]"""
+"""python -m tracemill.cli COMMAND: trace_analysis, stitch, show_traces, mermaid, dotgraph."""
 
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from .operators import graph
+from .operators import snapshot as sn
 from .operators import spans as sp
 from .operators import stats as st
 from .plans.viewer import Viewer
-from .sources import jaeger
+from .sources import jaeger, reports, snapshots
+
+
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="tracemill", description=__doc__)
+    sub = p.add_subparsers(dest="command", required=True)
+    a = sub.add_parser("trace_analysis", help="a snapshot of trace files: tables, statistics and issues")
+    a.add_argument("--caching-process", default="")
+    a.add_argument("-c", "--decimal-point", action="store_true")
+    a.add_argument("-k", "--known-chains", help="table of known chains of earlier runs")
+    a.add_argument("-f", "--form", choices=["parquet", "json"], default="parquet")
+    s = sub.add_parser("stitch", help="series, report and anomalies of listed snapshots")
+    s.add_argument("-d", "--drop-count", type=int, default=0)
+    s.add_argument("-c", "--decimal-point", action="store_true")
+    for name, bound in (("slope", 0.05), ("st-slope", 0.05), ("deviation", 2.0)):
+        s.add_argument(f"--{name}", type=float, default=bound)
+    t = sub.add_parser("show_traces", help="traces as JSON, a folder each")
+    t.add_argument("-t", "--trace-ids", default="")
+    m = sub.add_parser("mermaid", help="a diagram of the calls around a service")
+    m.add_argument("-s", "--service-oper", required=True)
+    m.add_argument("-e", "--edge-value", default="count")
+    m.add_argument("--call-chain")
+    m.add_argument("--scope", choices=sorted(graph.SCOPES), default="full")
+    m.add_argument("--compact", action="store_true")
+    sub.add_parser("dotgraph", help="calls per service, direction and operation")
+    for x in sub.choices.values():
+        x.add_argument("input")
+        x.add_argument("-o", "--output", default="out")
+    return p
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def main(args: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("command", choices=["trace_analysis", "mermaid"])
-    p.add_argument("input")
-    p.add_argument("-o", "--output", default="out")
-    p.add_argument("-s", "--service")
-    p.add_argument("--scope", default="full")
-    p.add_argument("--compact", action="store_true")
-    p.add_argument("--caching-process", default="")
-    a = p.parse_args(args)
+    a = parser().parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    traces = sp.dedup_traces(jaeger.read_traces(spark, a.input), ["file_id", "trace_pos"])[0]
+    if a.command == "stitch":
+        lines = Path(a.input).read_text(encoding="utf-8").splitlines()
+        sources = jaeger.stitch_list(lines, str(Path(a.input).parent))
+        paths = [path for column, _, path in sources if column is not None]
+        found = {k: _written(v, f"{a.output}/{k}") for k, v in snapshots.stitch(spark, paths, a.drop_count).items()}
+        reports.stitched_csv(found, sources, len(paths), f"{a.output}/stitched.csv", not a.decimal_point)
+        n = reports.anomalies_csv(found, len(paths), f"{a.output}/anomalies.csv", slope=a.slope, st_slope=a.st_slope, deviation=a.deviation)
+        print(f"{n} anomalies")
+        return
+    traces, again = sp.dedup_traces(jaeger.read_traces(spark, a.input), ["file_id", "trace_pos"])
+    if a.command == "show_traces":
+        snapshots.write_traces(traces, f"{a.output}/Traces", a.trace_ids)
+        return
     spans, issues = jaeger.to_spans(traces)
-    keyed = st.with_keys(sp.with_paths(spans), [x for x in a.caching_process.split(",") if x])
-    if a.command == "mermaid":
-        print(Viewer(spans, keyed, 1).diagram(a.service, a.scope, a.compact))
+    if a.command == "trace_analysis":
+        caching = [x for x in a.caching_process.split(",") if x]
+        known = spark.read.parquet(a.known_chains) if a.known_chains else None
+        spans = _written(spans, f"{a.output}/clean")
+        tables = sn.analyse(spans, caching, known, lambda df, name: _written(df, f"{a.output}/{name}"))
+        snapshots.write_snapshot(tables, a.output, a.form)
+        reports.statistics_csv(tables, f"{a.output}/statistics.csv", not a.decimal_point)
+        reports.issues_report({"Spans": issues, "Traces that came again": again}, f"{a.output}/report.txt")
+        return
+    keyed = st.with_keys(sp.with_paths(spans))
+    if a.command == "dotgraph":
+        for line in reports.table(graph.process_nodes(keyed), ["service", "direction", "operation"]):
+            print(line)
         return
-    records = sp.trace_records(keyed)
-    for name, df in {"oper_stats": st.oper_stats(spans), "service_stats": st.service_stats(spans), "chain_stats": st.chain_stats(keyed), "traces": records, "snapshot": st.snapshot_summary(records), "known_chains": st.known_chains(keyed, records), "issues": issues}.items():
-        df.write.mode("overwrite").parquet(f"{a.output}/{name}")
+    service, _, operation = a.service_oper.partition("/")
+    print(Viewer(spans, keyed, 1).diagram(service, operation or None, a.call_chain, a.edge_value, a.scope, a.compact))
 
 
 if __name__ == "__main__":

@@ -195,9 +195,55 @@ query("chain_list_end2end", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*)
 )
 query("graph_edges", f"WITH RECURSIVE {PATHS}, e AS (SELECT svcs[-2] from_service, plain[-2][len(svcs[-2]) + 2 :] from_operation, svcs[-1] to_service, plain[-1][len(svcs[-1]) + 2 :] to_operation, duration_us FROM paths WHERE depth >= 2) SELECT from_service, from_operation, to_service, to_operation, count(*) count, round(avg(duration_us) / 1000, 6) avg_ms FROM e GROUP BY ALL")(lambda s, d: G.edges(keyed(s, d)))
 query("graph_compact", f"WITH RECURSIVE {PATHS} SELECT svcs[-2] from_service, svcs[-1] to_service, count(*) count FROM paths WHERE depth >= 2 GROUP BY 1, 2")(lambda s, d: G.compact(G.edges(keyed(s, d))))
-query("graph_positions", f"WITH RECURSIVE {PATHS}, x AS (SELECT unnest(svcs) service, unnest(range(1, len(svcs) + 1)) i, list_position(svcs, 'svc1') AS mid FROM paths WHERE list_contains(svcs, 'svc1')), r AS (SELECT service, max(CASE WHEN service = 'svc1' THEN 5 WHEN i < mid THEN 2 ELSE 1 END) r FROM x GROUP BY service) SELECT service, ['Unknown', 'Outbound', 'Inbound', 'OutboundCenter', 'InboundCenter', 'Center'][r + 1] AS position FROM r")(lambda s, d: G.positions(keyed(s, d), "svc1"))
+RELATED = """c AS (SELECT plain, count(*) n FROM paths GROUP BY plain), inb AS (SELECT plain p FROM c WHERE plain[len(plain)] LIKE 'svc1/%'),
+pre AS (SELECT DISTINCT p[:i] q FROM (SELECT p, unnest(range(1, len(p))) i FROM inb)), longest AS (SELECT p FROM inb ANTI JOIN pre ON p = q),
+ext AS (SELECT DISTINCT plain FROM (SELECT plain, unnest(range(1, len(plain) + 1)) i FROM c) JOIN longest ON plain[:i] = p),
+rel AS (SELECT plain, n, 1 d FROM c SEMI JOIN ext USING (plain) UNION ALL SELECT plain, n, 2 FROM c SEMI JOIN pre ON plain = q ANTI JOIN ext USING (plain)),
+e AS (SELECT plain[-2] from_call, plain[-1] to_call, split_part(plain[-2], '/', 1) fs, split_part(plain[-1], '/', 1) ts, n, d FROM rel WHERE len(plain) >= 2),
+near AS (SELECT *, CASE WHEN fs = 'svc1' THEN 5 WHEN ts = 'svc1' THEN 4 ELSE d END fr, CASE WHEN ts = 'svc1' THEN 5 WHEN fs = 'svc1' THEN 3 ELSE d END tr FROM e)"""
+
+
+def _service_graph(s: SparkSession, d: str) -> DataFrame:
+    k = keyed(s, d)
+    return G.service_graph(G.chain_table(k, False), G.paths(k), "svc1")
+
+
+query("graph_service", f"WITH RECURSIVE {PATHS}, {RELATED} SELECT from_call, to_call, sum(n)::BIGINT count, max(fr) from_rank, max(tr) to_rank FROM near GROUP BY ALL")(
+    lambda s, d: _service_graph(s, d).select(F.concat_ws("/", "from_service", "from_operation").alias("from_call"), F.concat_ws("/", "to_service", "to_operation").alias("to_call"), "count", "from_rank", "to_rank")
+)
+query("graph_positions", f"WITH RECURSIVE {PATHS}, {RELATED}, r AS (SELECT fs service, fr r FROM near UNION ALL SELECT ts, tr FROM near) SELECT service, ['Unknown', 'Outbound', 'Inbound', 'OutboundCenter', 'InboundCenter', 'Center'][max(r) + 1] AS position FROM r GROUP BY service")(lambda s, d: G.positions(_service_graph(s, d)))
 query("graph_reachable", f"WITH RECURSIVE {PATHS} SELECT regexp_extract(chain_key, '^.*svc1/') prefix, count(*) count FROM chains WHERE contains(chain_key, 'svc1/') GROUP BY 1")(lambda s, d: G.reachable(keyed(s, d), "svc1"))
 query("process_nodes", f"WITH RECURSIVE {PATHS}, x AS (SELECT unnest([(svcs[i], CASE WHEN dirs[i] <> 'Outbound' AND (i = 1 OR svcs[i - 1] <> svcs[i]) THEN 'Inbound' ELSE dirs[i] END, plain[i][len(svcs[i]) + 2 :]) FOR i IN range(1, len(svcs) + 1)]) r FROM paths) SELECT r[1] service, r[2] direction, r[3] AS operation, count(*) count FROM x GROUP BY ALL")(lambda s, d: G.process_nodes(keyed(s, d)))
+query("chain_path_errors", f"WITH RECURSIVE {PATHS} SELECT chain_key, round(count(*) FILTER (bad) / count(*), 6) frac_not_http_ok, round(count(*) FILTER (err) / count(*), 6) frac_error_logs FROM chains GROUP BY chain_key")(lambda s, d: sn.chain_counters(keyed(s, d)))
+query("chain_list_all", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) count FROM chains WHERE plain[len(plain)] NOT LIKE 'svc1/%' AND contains(chain_key, 'svc1/') GROUP BY chain_key")(
+    lambda s, d: keyed(s, d).where((F.element_at("call_chain", -1)["service"] != "svc1") & F.contains("chain_key", F.lit("svc1/"))).groupBy("chain_key").agg(F.count("*").alias("count"))
+)
+
+
+def _metrics_sql(keys: str, source: str, errors: str) -> str:
+    """SQL of the thirteen metrics in long form, of rows with keys, x, duration_us and start_us."""
+    own = f"{keys}, x"
+    p = ", ".join(f"CASE WHEN ceil(count(*) * {q}::DOUBLE) < count(*) THEN list_sort(list(duration_us))[ceil(count(*) * {q}::DOUBLE)::INT] / 1000 END p{round(100 * q)}" for q in T.PERCENTILES)
+    cols = {"count": "c", "occurance percentage": "c / nt", "rate (req/sec)": "CASE WHEN c >= nf + 12 THEN CASE WHEN a = 0 THEN 'inf'::DOUBLE ELSE 1e6::DOUBLE / a END END", "minimal duration millis": "mn", "average duration millis": "av", "median duration millis": "md", "maximal duration millis": "mx",
+            "p75 millis": "p75", "p90 millis": "p90", "p95 millis": "p95", "p99 millis": "p99", "frac_not_http_ok": "bad", "frac_error_logs": "err"}
+    parts = " UNION ALL ".join(f"SELECT {own}, '{m}' metric, round(({e})::DOUBLE, 6) y FROM z WHERE ({e}) IS NOT NULL" for m, e in cols.items())
+    return f"""r0 AS (SELECT *, snapshot_id x FROM {source}), tot AS (SELECT snapshot_id x, count(DISTINCT trace_id) nt, count(DISTINCT file_id)::INT nf FROM spans GROUP BY x),
+g0 AS (SELECT {own}, start_us - lag(start_us) OVER (PARTITION BY {own} ORDER BY start_us) gap FROM r0), g1 AS (SELECT *, row_number() OVER (PARTITION BY {own} ORDER BY gap NULLS LAST) r, count(*) OVER (PARTITION BY {own}) n FROM g0),
+g2 AS (SELECT {own}, avg(gap) FILTER (r <= n - 1 - nf) a FROM g1 JOIN tot USING (x) GROUP BY {own}),
+k AS (SELECT {own}, count(*) c, min(duration_us) / 1000 mn, avg(duration_us) / 1000 av, max(duration_us) / 1000 mx, CASE WHEN count(*) >= 3 THEN quantile_cont(duration_us, 0.5) / 1000 END md, {p}, {errors} FROM r0 GROUP BY {own}),
+z AS (SELECT * FROM k JOIN g2 USING ({own}) JOIN tot USING (x)) {parts}"""
+
+
+def _traces(s: SparkSession, d: str) -> DataFrame:
+    return spans(s, d).select("snapshot_id", "trace_id", "file_id").distinct()
+
+
+query("stitch_oper_metrics", f"WITH {SPANS}, " + _metrics_sql("service, operation", "spans", "count(*) FILTER (http_status_code <> 200) / count(*) bad, count(*) FILTER (log_level = 'ERROR') / count(*) err"))(
+    lambda s, d: _rounded(sn.series(spans(s, d), _traces(s, d), ["service", "operation"]), 6)
+)
+query("stitch_chain_metrics", f"WITH RECURSIVE {PATHS}, " + _metrics_sql("chain_key", "chains", "count(*) FILTER (http_status_code <> 200) / count(*) bad, count(*) FILTER (log_level = 'ERROR') / count(*) err"))(
+    lambda s, d: _rounded(sn.series(keyed(s, d), _traces(s, d), ["chain_key"]), 6)
+)
 query("string_hash")(lambda s, d: spans(s, d).select("operation").distinct().withColumn("hash", S.string_hash(F.col("operation"))))
 query("label_list", "SELECT o_orderkey, ['Jan','Febr','March','April','May','June','July','Aug','Sept','Oct','Nov','Dec'][month(o_orderdate)] || '-' || strftime(o_orderdate, '%d') AS label FROM orders")(
     lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.month_label(F.concat(F.lit("export "), F.date_format("o_orderdate", "yyyyMMdd")), F.col("o_orderkey")).alias("label"))

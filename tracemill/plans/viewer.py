@@ -7,7 +7,7 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, stitch
+from ..operators import graph, snapshot, stitch
 
 
 class Metric(Enum):
@@ -88,13 +88,19 @@ class Viewer:
         own = [i for i, c in enumerate(chosen) if c]
         return Viewer(stitch.select_columns(self.series, own), self.keyed, len(own))
 
-    def diagram(self, service: str | None = None, scope: str = "full", compact: bool = False, value: str = "count") -> str:
-        """Diagram text of the call graph, of the services that stand to `service` as the scope says."""
-        edges = graph.edges(self.keyed)
-        if service is not None:
-            near = graph.positions(self.keyed, service).where(F.col("position").isin(*graph.SCOPES[scope]))
-            for side in ("from_service", "to_service"):
-                edges = edges.join(near.select(F.col("service").alias(side)), side, "left_semi")
-        if compact:
-            edges = graph.compact(edges).withColumns({"from_operation": F.lit("*"), "to_operation": F.lit("*")})
-        return graph.mermaid(edges.collect(), value)
+    def file_stats(self, basic: DataFrame) -> DataFrame:
+        """Whole snapshots as a table: a row per metric, a column per snapshot of the original data. basic: x, metric, y."""
+        return basic.groupBy("metric").pivot("x", list(range(self.columns))).agg(F.max("y")).orderBy(snapshot.metric_order(snapshot.BASIC, F.col("metric")))
+
+    def chain_chart(self, chain_series: DataFrame, chain_key: str, metric: str) -> DataFrame:
+        """x, observed, linear, exponential of a chain. chain_series: chain_key, x, metric, y."""
+        own = chain_series.where(F.col("chain_key") == chain_key).select(F.lit("chain").alias("service"), F.lit("").alias("operation"), "metric", "x", "y")
+        return Viewer(own, self.keyed, self.columns).chart("chain", "", metric)
+
+    def diagram(self, service: str, operation: str | None = None, selected: str | None = None, metric: str = "count", scope: str = "full", compact: bool = False) -> str:
+        """Diagram text of the chains that lead to a service or one of its operations; a selected chain is emphasised."""
+        if metric not in graph.VALUES:
+            raise ValueError(f"{metric} can't be shown on a link")
+        name = service if operation is None else f"{service}/{operation}"
+        rows = graph.service_graph(graph.chain_table(self.keyed, metric != "count"), graph.paths(self.keyed), service, operation, selected).collect()
+        return graph.mermaid([r.asDict() for r in rows], graph.VALUES[metric], f"{name} (metric={metric})", service, operation, scope, compact)

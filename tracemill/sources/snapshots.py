@@ -16,6 +16,14 @@ LEGACY_LABELS = {
     "max_duration_millis": "maximal duration millis", "avg_duration_millis": "average duration millis", "median_duration_millis": "median duration millis",
     "p75_millis": "p75 millis", "p90_millis": "p90 millis", "p95_millis": "p95 millis", "p99_millis": "p99 millis",
 }
+#: Names of metrics in stitched records, and their labels.
+VARIANTS = {
+    "NumFiles": "num_files", "OccurancePercentage": "occurance percentage", "NumTraces": "num_traces", "NumEndpoints": "num_endpoints", "NumIncompleteTraces": "num_incomplete_traces",
+    "NumCallChains": "num_call_chains", "InitNumUnrootedCallChains": "init_num_unrooted_cc", "NumFixes": "num_fixes", "NumUnrootedCallChainsAfterFixes": "num_unrooted_cc_after_fixes",
+    "FracNotHttpOk": "frac_not_http_ok", "FracErrorLogs": "frac_error_logs", "Count": "count", "Rate": "rate (req/sec)", "MinDurationMillis": "minimal duration millis",
+    "AvgDurationMillis": "average duration millis", "MedianDurationMillis": "median duration millis", "MaxDurationMillis": "maximal duration millis",
+    "P75Millis": "p75 millis", "P90Millis": "p90 millis", "P95Millis": "p95 millis", "P99Millis": "p99 millis",
+}
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
@@ -77,23 +85,23 @@ def read_snapshot_record(spark: SparkSession, path: str) -> dict[str, DataFrame]
     lists = [F.col("v.count"), F.col("v.num_traces"), F.col("v.duration_micros").alias("duration_us"), F.col("v.start_dt_micros").alias("start_us")]
     durations = own.select("service", F.explode(F.coalesce("s.operation", "s.method")).alias("operation", "v")).withColumn("v", value("v")).select("service", "operation", *lists)
     pairs = own.select("service", F.explode("s.call_chain").alias("p")).select("service", F.from_json(F.get("p", F.lit(0)), _CALLS).alias("k"), value(F.get("p", F.lit(1))).alias("v"))
-    call = lambda c: F.struct(F.coalesce(c["service"], c["process"]).alias("service"), F.coalesce(c["operation"], c["method"]).alias("operation"), c["call_direction"].alias("call_direction"))
+    call = lambda c: F.struct(F.coalesce(c["service"], c["process"]).alias("service"), F.coalesce(c["operation"], c["method"]).alias("operation"), F.coalesce(c["call_direction"], F.lit("Unknown")).alias("call_direction"))
     chains = pairs.select("service", F.transform("k.call_chain", call).alias("call_chain"), F.coalesce("k.caching_process", F.lit("")).alias("caching_process"), "k.is_leaf", "v.rooted", "v.depth", *lists)
     return {"traces": traces, "service_stats": services, "durations": durations, "chains": chains.withColumn("chain_key", S.chain_key(F.col("call_chain"), F.col("caching_process"), F.col("is_leaf")))}
 
 
 _LINE = "struct<label:string,metric:string,data:array<double>>"
 _CHAIN = f"struct<full_key:string,inbound_process_key:string,inboud_process_key:string,rooted:boolean,is_leaf:boolean,data:array<{_LINE}>>"
-_STITCHED = f"sources array<array<string>>,basic array<{_LINE}>,process_operation array<array<string>>,service_operation array<array<string>>,call_chain array<array<string>>"
+_STITCHED = f"sources array<struct<column:int,description:string>>,basic array<{_LINE}>,process_operation array<array<string>>,service_operation array<array<string>>,call_chain array<array<string>>"
 
 
 def read_stitched_record(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Stitched series that are one JSON record, older forms too: metrics under `label` with older names, service_operation called
     process_operation. Fits aren't read: they follow from the data. Returns basic, operations and chains, as stitch() does, and columns."""
     x = spark.read.schema(_STITCHED).option("multiLine", True).json(path)
-    names = F.create_map(*[F.lit(v) for kv in LEGACY_LABELS.items() for v in kv])
-    variant = F.lower(F.regexp_replace(F.coalesce("line.label", "line.metric"), r"(?<=[a-z])(?=[A-Z])", " "))
-    metric = F.coalesce(F.try_element_at(names, F.coalesce("line.label", "line.metric")), F.col("line.label"), variant)
+    names = F.create_map(*[F.lit(v) for kv in {**LEGACY_LABELS, **VARIANTS}.items() for v in kv])
+    label = F.coalesce("line.label", "line.metric")
+    metric = F.coalesce(F.try_element_at(names, label), label)
     points = lambda df, *keys: df.select(*keys, metric.alias("metric"), F.posexplode("line.data").alias("x", "y")).where("y IS NOT NULL")
     pairs = lambda column, form: x.select(F.explode(column).alias("p")).select(F.get("p", F.lit(0)).alias("name"), F.from_json(F.get("p", F.lit(1)), form).alias("own"))
     oper = pairs(F.coalesce("service_operation", "process_operation"), f"array<{_LINE}>").select(F.regexp_extract("name", "^([^/]*)/(.*)$", 1).alias("service"), F.regexp_extract("name", "^([^/]*)/(.*)$", 2).alias("operation"), F.explode("own").alias("line"))
@@ -101,7 +109,7 @@ def read_stitched_record(spark: SparkSession, path: str) -> dict[str, DataFrame]
     info = chains.select(F.col("c.full_key").alias("chain_key"), "leaf", F.coalesce("c.inbound_process_key", "c.inboud_process_key").alias("inbound_key"), "c.is_leaf", "c.rooted")
     return {
         "basic": points(x.select(F.explode("basic").alias("line"))), "operations": points(oper, "service", "operation"), "chain_info": info,
-        "chains": points(chains.select(F.col("c.full_key").alias("chain_key"), F.explode("c.data").alias("line")), "chain_key"), "columns": x.select(F.size("basic.data").alias("_"), F.size(F.get("basic", F.lit(0))["data"]).alias("columns")).select("columns"),
+        "chains": points(chains.select(F.col("c.full_key").alias("chain_key"), F.explode("c.data").alias("line")), "chain_key"), "columns": x.select(F.size(F.get("basic", F.lit(0))["data"]).alias("columns")), "sources": x.select(F.inline("sources")),
     }
 
 
