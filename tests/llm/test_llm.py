@@ -245,6 +245,24 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of one to three words count like any other, blank ones don't; against brute force."""
+    r = random.Random(9)
+    pool = ["Les.", " Les. ", "And ornd.", "Of, edti oner.", "four words stand here", "", " \t", "é", "x"]
+    rows = [(i, "\n".join([*r.choices(pool, k=4), f"own {i}"]), r.choice([None, *"abcdefg"])) for i in range(60)]
+    rows += [(60 + i, "three sites", "abc"[i % 3]) for i in range(9)] + [(69, None, "a"), (70, "", "b")]
+    strip, sites, first = " \t\r\v\f\n", defaultdict(set), {}
+    for i, t, s in rows:
+        for x in (t or "").split("\n"):
+            sites[x.strip(strip)].add(s)
+            first.setdefault(x.strip(strip), i)
+    gone = lambda i, x: x.strip(strip) and len(sites[x.strip(strip)]) >= 4 and i > first[x.strip(strip)]
+    want = {i: t if t is None else "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t, _ in rows}
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert {x.doc_id: x.text for x in got} == want and len(got) == len(rows)
+    assert {x.doc_id: x.n_removed for x in got} == {i: sum(bool(gone(i, x)) for x in (t or "").split("\n")) for i, t, _ in rows}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()

@@ -2,7 +2,7 @@
 
 A site is a value of `source` (null counts as one site). HyperLogLog sketches of sites are kept per line hash and merged by
 aggregation; lines whose estimate lies near the threshold get an exact distinct count. A line on min_sites or more sites is
-removed wherever it stands, but for the first row (smallest id) that has it. Lines of fewer than min_words words are kept.
+removed wherever it stands, but for the first row (smallest id) that has it, however short it is. Blank lines are no lines and stay.
 
 Null text stays null; an empty text stays empty. Within a row all occurrences are treated alike: kept in the first row, removed in
 others. Rows of equal id count as one document. Native functions only; everything is joined by line hash or id, none of it collected.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 MIN_SITES = 4
-MIN_WORDS = 4
+MIN_WORDS = 4  # of ORACLE alone: it leaves shorter lines out, the operator doesn't
 LG_K = 9  # registers of a sketch: 2^LG_K
 NEAR = 0.25  # estimates within this share of the threshold are counted exactly; above five standard errors at LG_K
 
@@ -25,29 +25,30 @@ def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def lines(docs: DataFrame, site_col: str, min_words: int) -> DataFrame:
-    """doc_id, _site, _pos, _h1, _h2: each line that is long enough, by two 64-bit hashes of its trimmed text."""
+def lines(docs: DataFrame, site_col: str) -> DataFrame:
+    """doc_id, _site, _pos, _h1, _h2: each line that isn't blank, by two 64-bit hashes of its trimmed text."""
     x = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col(site_col)), F.lit("n")).alias("_site"), F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
-    x = x.where(F.col("_line").rlike(rf"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{min_words - 1}}}[^\x20\x09-\x0D]"))
+    x = x.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
     t = _trimmed(F.col("_line"))
     return x.select("doc_id", "_site", "_pos", F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(7), t).alias("_h2"))
 
 
-def boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+def boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """_h1, _h2, _first: the lines on min_sites or more sites, and the first id that has each."""
     key = ["_h1", "_h2"]
-    own = lines(docs, site_col, min_words)
-    spread = own.groupBy(*key).agg(F.min("doc_id").alias("_first"), F.min("_site").alias("_a"), F.max("_site").alias("_b")).where("_a < _b")
+    # a row per line and site, so a hot line brings no more rows than it has sites
+    own = lines(docs, site_col).groupBy(*key, "_site").agg(F.min("doc_id").alias("_first"))
+    spread = own.groupBy(*key).agg(F.min("_first").alias("_first"), F.min("_site").alias("_a"), F.max("_site").alias("_b")).where("_a < _b")
     sketch = own.join(spread, key, "left_semi").groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(LG_K))).alias("_sites"))
     sure = sketch.where(F.col("_sites") > min_sites * (1 + NEAR))
     near = sketch.where(F.col("_sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR)))
-    exact = own.join(near, key, "left_semi").groupBy(*key, "_site").agg(F.lit(1).alias("_one")).groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_sites)
+    exact = own.join(near, key, "left_semi").groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_sites)
     return spread.select(*key, "_first").join(sure.select(*key).unionByName(exact.select(*key)), key)
 
 
-def dedup_lines(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with its text cleaned, and n_removed: lines taken out of it. docs: doc_id, text and the site column, at least."""
-    gone = lines(docs, site_col, min_words).join(boilerplate(docs, site_col, min_sites, min_words), ["_h1", "_h2"]).where("doc_id > _first")
+    gone = lines(docs, site_col).join(boilerplate(docs, site_col, min_sites), ["_h1", "_h2"]).where("doc_id > _first")
     gone = gone.groupBy("doc_id").agg(F.collect_set("_pos").alias("_gone"))
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
