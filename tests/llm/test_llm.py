@@ -272,6 +272,22 @@ def test_query_equals_sql(spark, name):
     assert key(got.columns, got.collect()) == key(want.columns, want.fetchall())
 
 
+def test_stages_keep_null_ids(spark, docs):
+    """Near-duplicate removal keeps each row of null id; the mix takes each as often as its own copies say."""
+    rows = [(None, *x[1:]) for x in ROWS[3:9]] * 2 + [(None, f"w{i} " * (1 + i % 3), "en", "nameless", 0, "k", "s", "n", "p") for i in range(30)]
+    both = docs.unionByName(spark.createDataFrame(rows, FIELDS))
+    out = ngram_join.near_dedup_stage(spark, both, SF)
+    alone = ngram_join.near_dedup_stage(spark, docs, SF)
+    assert out.columns == both.columns
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, alone.collect())) + Counter(rows)
+    plan = Counter()
+    for x in mixing.mix(both).where("doc_id IS NULL").collect():
+        plan[x.source, x.size] += x.copies
+    got = mixing.mix_stage(spark, both, SF)
+    assert got.columns == both.columns and sum(plan.values()) > 0
+    assert Counter((x.source, len(words(x.text))) for x in got.collect() if x.doc_id is None) == +plan
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -74,14 +74,14 @@ def ranked(docs: DataFrame) -> DataFrame:
     return own.join(offsets, keys).withColumn("_rank", F.col("_rank") + F.col("_offset")).drop("_b1", "_b2", "_b3", "_offset")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """docs: doc_id, source, text. Returns doc_id, source, size, source_size, target, copies, taken; one row per row of docs."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, also: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, source, text. Returns doc_id, source, size, source_size, target, copies, taken and the columns also; one row per row of docs."""
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sized = stored(docs.select("doc_id", "source", key.alias("_k"), size_of(F.col("text")).alias("size")))
+    sized = stored(docs.select("doc_id", "source", key.alias("_k"), size_of(F.col("text")).alias("size"), *also))
     goals = targets(sized.groupBy("_k", "source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = goals.withColumn("_rate", rate).withColumn("_u", F.conv(F.substring(F.md5("_k"), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20)))
-    rows = ranked(sized.select("_k", "doc_id", "size")).join(goals, "_k")
+    rows = ranked(sized.select("_k", "doc_id", "size", *also)).join(goals, "_k")
 
     def copies(c: Column) -> Column:
         u = (F.col("_u") + c) / F.lit(float(OFFSETS))
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     sums = rows.groupBy("_k").agg(F.first("target").alias("_t"), *[F.sum(F.col("size") * copies(F.lit(float(c)))).alias(f"_s{c}") for c in range(OFFSETS)])
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_s{c}") - F.col("_t")).alias("d"), F.lit(float(c)).alias("c")) for c in range(OFFSETS)]))["c"]
     n = copies(F.col("_c"))
-    return rows.join(sums.select("_k", nearest.alias("_c")), "_k").select("doc_id", "source", "size", "source_size", "target", n.alias("copies"), (F.col("size") * n).alias("taken"))
+    return rows.join(sums.select("_k", nearest.alias("_c")), "_k").select("doc_id", "source", "size", "source_size", "target", n.alias("copies"), (F.col("size") * n).alias("taken"), *also)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +100,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the mix takes, each as often as it is taken (rows repeat), with docs' columns.
 
-    Rows of one id are taken alike: as often as the most taken of them."""
-    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    Rows of one id are taken alike: as often as the most taken of them. Rows of null id are documents of their own, each taken
+    as often as its own copies say; they are numbered and written once, for the join to find them."""
+    nameless = stored(docs.where("doc_id IS NULL").withColumn("_row", F.monotonically_increasing_id()))
+    own = docs.where("doc_id IS NOT NULL").withColumn("_row", F.lit(None).cast("long")).unionByName(nameless)
+    taken = mix(own, also=("_row",)).groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_r")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    found = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_row").eqNullSafe(F.col("_r")))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 ORACLE = rf"""

@@ -392,6 +392,6 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents, the one of smallest id stays."""
+    """Pipeline stage: of each group of linked documents, the one of smallest id stays. Rows of null id have no links: all stay."""
     keep = near_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
