@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import extraction, licenses, line_dedup, media, mixing, ngram_join, packing, quality, queries, sharding, token_file, tokens
+from tracemill.llm import dom, extraction, licenses, line_dedup, media, mixing, ngram_join, packing, quality, queries, sharding, token_file, tokens
 from tracemill.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -239,6 +239,25 @@ def test_extraction_held_out(spark):
     assert [r.n_chars for r in extraction.extract_pages(pages, model).orderBy("page_id").collect()] == [23, 0]
 
 
+def test_extraction_keeps_embedded_text():
+    """Formulas and fallback texts reach the model; neither a closing slash nor an open element cuts a page."""
+    model = extraction.default_model()
+    body = "<p>The first paragraph of the article is long enough to be text. {} And here it goes on, with more words, to its end.</p><p>The second paragraph follows it.</p>"
+    page = "<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Head</h1>" + body + "</article><footer>&copy; x</footer></body></html>"
+    for inner in ("<math><mi>alpha</mi><mo>=</mo><mn>1</mn></math>", "<svg><path d='M0'/><text>alpha</text></svg>", "<object data=x>alpha</object>", "<noscript>alpha</noscript>"):
+        root = dom.parse(page.format(inner))
+        assert "alpha" in _text(root) and "second paragraph" in extraction.extract(page.format(inner), model)
+    for inner in ("<svg width='1' />", "<svg/>", "<math/>", "<svg><script/><style/></svg>", "<object data=x>", "<svg><g><path d='M0'/></g>"):
+        out = extraction.extract(page.format(inner), model)
+        assert "it goes on" in out and "second paragraph" in out
+    assert [x.tag for x in dom.parse("<svg><g/><b>x</b></svg><i/>y").children[0].children] == ["g", "b"]
+    assert dom.parse("<svg a=b/>x</svg>").children[0].children[0].text == "x" and _text(dom.parse("<script>a</script><template>b</template>c")) == "c"
+
+
+def _text(x):
+    return x.text if not x.tag else "".join(map(_text, x.children))
+
+
 def test_line_dedup(docs, empty):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     assert got[0].text is None and got[12].text == ROWS[12][1] and "shared line" not in got[13].text and got[13].n_removed == 1 and len(got) == len(ROWS)

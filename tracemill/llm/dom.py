@@ -6,7 +6,9 @@ import html
 import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object".split())
+RAW = frozenset("script style template textarea iframe".split())
+FOREIGN = frozenset(["svg", "math"])  # a slash closes these and what they hold, unless an element of HTML_IN stands between
+HTML_IN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html img legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul video audio picture".split())
 #: An opening tag of the value's set ends an open element of the key, unless one of LIMIT stands between.
 _P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -18,6 +20,7 @@ ENDS = {
 LIMIT = frozenset("table ul ol dl div article section main aside nav header footer form blockquote body html figure select fieldset".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_UNQUOTED = re.compile(r"=\s*[^\s\"']+$")  # a slash here belongs to the value
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -38,6 +41,16 @@ class Node:
         return None
 
 
+def _closed(tag: str, attributes: str, parent: Node) -> bool:
+    """Whether a tag's own slash closes it."""
+    if not attributes.endswith("/") or _UNQUOTED.search(attributes):
+        return False
+    x = parent
+    while tag not in FOREIGN and x is not None and x.tag not in HTML_IN and x.tag not in FOREIGN:
+        x = x.parent
+    return tag in FOREIGN or (x is not None and x.tag in FOREIGN)
+
+
 def parse(page: str | None) -> Node:
     """The tree of a page; its root has tag "#". Comments, declarations and the contents of RAW elements are left out."""
     root = now = Node("#", None)
@@ -72,9 +85,11 @@ def parse(page: str | None) -> Node:
                     break
                 x = x.parent
         element = Node(tag, now, m[3] or "")
+        if _closed(tag, element.attributes, element.parent):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID:  # a slash at the end closes nothing in HTML
+        elif tag not in VOID:  # a slash at the end closes nothing else in HTML
             now = element
     return root
