@@ -58,6 +58,21 @@ def test_license_scan(docs, empty, spark):
     assert licenses.license_scan(docs).count() == len(ROWS) and licenses.license_scan(empty).count() == 0
 
 
+def test_license_tag_before_other_text():
+    """A tag's expression may be followed by a comment closer, a full stop or prose; one that lacks an operand stays broken."""
+    a = licenses.automaton()
+    for said, labels in {
+        "<!-- SPDX-License-Identifier: MIT -->": "mit", "<!--SPDX-License-Identifier: MIT-->": "mit", "SPDX-License-Identifier: MIT.": "mit", "/* SPDX-License-Identifier: MIT */": "mit",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only, see the file": "apache-2,gpl-2.0,mit", "(SPDX-License-Identifier: MIT)": "mit",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0. All rights": "gpl-2.0", "SPDX-License-Identifier: MIT. Or Apache-2.0": "apache-2,mit", "{# SPDX-License-Identifier: ISC #}": "isc",
+    }.items():
+        got = licenses.scan(said, a)
+        assert (got["labels"], got["score"]) == (labels, pytest.approx(0.99)), said
+    for said in ("MIT OR -->", "MIT OR (GPL-2.0-only", "(MIT", "OR MIT", "", "--", ", MIT"):
+        got = licenses.scan(f"SPDX-License-Identifier: {said}", a)
+        assert (got["labels"], got["score"]) == ("", pytest.approx(0.3)), said
+
+
 def test_quality(docs, empty):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     for i, t, *_ in ROWS:

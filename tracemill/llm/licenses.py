@@ -92,6 +92,30 @@ def rpn(expression: str) -> list[str]:
     return out + stack[::-1]
 
 
+def leading(line: str) -> str:
+    """The longest valid expression that a line begins with; comment closers, a full stop or prose may follow it. Raises ValueError
+    if there is none, or if an operator follows it whose operand is missing."""
+    said: list[str] = []
+    end, depth, operand = 0, 0, True
+    for m in _TOKEN.finditer(line):
+        token = m[0] if m[0] in "()" else m[0].rstrip(".:-")
+        operator = token.upper() in _ORDER
+        if operand:
+            fits = token == "(" or (not operator and re.fullmatch(r"[A-Za-z0-9.:+-]+", token))
+        else:
+            fits = operator or (token == ")" and depth > 0)
+        if not fits:
+            break
+        said.append(token)
+        depth += (token == "(") - (token == ")")
+        operand = operator or token == "("
+        if not operand and not depth:
+            end = len(said)
+    if not end or (end < len(said) and said[end].upper() in _ORDER):
+        raise ValueError("incomplete")
+    return " ".join(said[:end])
+
+
 def evaluate(expression: str) -> tuple[float, set[str]]:
     """How much it permits (or: the best side, and: the worst, with: a little more) and the labels in it."""
     stack: list[tuple[float, set[str]]] = []
@@ -139,7 +163,7 @@ def scan(text: str | None, a: ahocorasick.Automaton) -> dict:
         for m in _EXPRESSION.finditer(text):
             said.append(m[1].strip())
             try:
-                worth, own = evaluate(m[1])
+                worth, own = evaluate(leading(m[1]))
             except ValueError:
                 miss *= 1 - BROKEN
                 continue
