@@ -1,7 +1,10 @@
-"""Shared pieces: durable materialisation, and byte-level text kernels on whole Arrow batches."""
+"""Shared pieces: durable materialisation, bounded Arrow batches, and byte-level text kernels on whole batches."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -31,12 +34,54 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+ROW_GROUP = 16 << 20  # bytes that a Parquet writer holds back
+ARROW_BYTES = 4 << 20  # of an Arrow batch, unless a row alone is larger
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+_written: dict[str, SparkSession] = {}
+
+
+def new_path(spark: SparkSession) -> str:
+    """Where a table may be written; what is there goes when this Python process ends."""
+    path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: computed once, and not lost with an executor."""
+    """df written as Parquet in the shared folder and read again: computed once, and not lost with an executor.
+
+    The table goes with discard(), or else when this Python process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracemill_path = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be over
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what stored() wrote for these tables. Nothing that is yet to run may read them."""
+    for t in tables:
+        _remove(t.__dict__.get("_tracemill_path", ""))
+
+
+atexit.register(lambda: [_remove(path) for path in list(_written)])
+
+
+def lean(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: 10,000 rows of long texts would take most of an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    m = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(key, "64m").lower())
+    if m and int(m[1]) * _UNITS[m[2]] > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -55,7 +100,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20):
+def chunks(offsets: np.ndarray, most: int = 1 << 18):
     """Ranges of rows of about `most` bytes; a longer text has a range of its own."""
     first = 0
     while first < len(offsets) - 1:
@@ -78,7 +123,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.ones(1, np.uint64)
         while len(have) < n:
             have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        if len(have) <= 16 << 20:
+        if len(have) <= 1 << 20:  # longer texts have tables of their own
             _POWERS[base] = have
     return have
 
