@@ -5,12 +5,12 @@ bits, and the bit offset of every STEP-th token. A block holds whole documents,
 is a block of its own), so any block can be read alone; its checkpoints let a table-driven decoder read STEP-token lanes side by
 side. The code is given by its lengths alone and is kept with every block's table.
 
-Null text: just the end id. Null ids come first. Rows of equal id stand together, ordered by their ids. An empty table: no rows.
+Null text: just the end id. Null ids come first. Rows of equal id stand together, ordered by a hash of their ids; equal rows are interchangeable. An
+empty table: no rows. Columns but doc_id and text don't matter. A long text is one block; memory is about 40 bytes a token of it.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import ROW_GROUP, discard, lean, new_path, stored, table
 from .tokens import Encoder, encoded, tokenizer_path
 
 LONGEST = 18  # bits of a code word, at most
 BLOCK = 1 << 18
 COUNTED = 1 << 20  # ids counted at once
 STEP = 128
+SPLITS = 800_000  # distinct splits whose ids a worker keeps (about 200 MB)
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -113,32 +114,34 @@ def decode_block(data: bytes, marks: np.ndarray, n: int, symbols: np.ndarray, si
 
 
 def _tokens(docs: DataFrame, path: str) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, ids in encoded(batch, path):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
-def _counts(tokens: DataFrame, vocabulary: int, kind: np.dtype) -> np.ndarray:
-    """How often each id occurs. One row per task and id reaches the shuffle, one per id the driver."""
+    """Two kinds of rows: doc_id, row (its number, which tells equal documents apart), digest and ids of a document; token and n, how often a
+    task has met it. So ids are counted in the pass that makes them, one row per task and id reaches the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
+        encoder, row = Encoder.of(path), TaskContext.get().partitionId() << 33
+        total = np.zeros(encoder.vocabulary, np.int64)
         for batch in batches:
-            wide = np.int64 if pa.types.is_large_binary(batch.column(0).type) else np.int32
-            offsets = np.frombuffer(batch.column(0).buffers()[1], wide)[batch.column(0).offset :][: len(batch) + 1]
-            data = batch.column(0).buffers()[2]
-            if len(batch) and data is not None:
-                ids = np.frombuffer(data, kind, (int(offsets[-1]) - int(offsets[0])) // kind.itemsize, int(offsets[0]))
-                for i in range(0, len(ids), COUNTED):
-                    total += np.bincount(ids[i : i + COUNTED], minlength=vocabulary)
+            for lo, hi, ids in encoded(batch, path, kept=SPLITS):
+                flat = np.frombuffer(b"".join(ids), encoder.kind)
+                for i in range(0, len(flat), COUNTED):
+                    total += np.bincount(flat[i : i + COUNTED], minlength=len(total))
+                n = hi - lo
+                digest = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(np.arange(row, row + n)), digest, pa.array(ids, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+                row += n
         own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["id", "n"])
+        none = [pa.nulls(len(own), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(own.astype(np.int32)), pa.array(total[own])], names)
+
+    names = ["doc_id", "row", "digest", "ids", "token", "n"]
+    lean(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, row long, digest long, ids binary, token int, n long")
+
 
+def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs; one row per id reaches the driver."""
     out = np.zeros(vocabulary, np.int64)
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     out[np.asarray(rows.column(0), np.int64)] = np.asarray(rows.column(1), np.int64)
     return out
 
@@ -154,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, to: str | None = None) -> tuple[str
     encoder = Encoder.of(path)
     tokens = stored(_tokens(docs, path))
     kind = encoder.kind
-    lengths = code_lengths(_counts(tokens, encoder.vocabulary, kind))
+    lengths = code_lengths(_counts(tokens, encoder.vocabulary))
     code = spark.sparkContext.broadcast((lengths, canonical(lengths)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +186,11 @@ def write_tokens(docs: DataFrame, path: str, to: str | None = None) -> tuple[str
         if n:
             yield flush()
 
-    to = to or f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
-    tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(to)
+    to = to or new_path(spark)
+    order = ["doc_id", "digest", "row"]  # rows of one id, or of none, can be parted too
+    own = tokens.where("token IS NULL").select(*order, "ids").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    own.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP).parquet(to)
+    discard(tokens)
     return to, lengths
 
 
@@ -199,15 +205,17 @@ def read_tokens(spark: SparkSession, path: str, lengths: np.ndarray) -> DataFram
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, sizes = decode_table(code.value)
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = decode_block(r["bits"], np.frombuffer(r["marks"], "<i8"), r["n"], symbols, sizes).astype("<u4")
-                docs, n = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["sizes"], "<i8")
+            for i in range(len(batch)):  # one block at a time, its bytes where they are
+                part, before, total, nulls = (batch.column(_BLOCK_NAMES.index(c))[i].as_py() for c in ("part", "start", "n", "nulls"))
+                docs, n, marks = (np.frombuffer(batch.column(_BLOCK_NAMES.index(c))[i].as_buffer(), "<i8") for c in ("docs", "sizes", "marks"))
+                ids = decode_block(batch.column(_BLOCK_NAMES.index("bits"))[i].as_buffer(), marks, total, symbols, sizes).astype("<u4")
                 ends = np.cumsum(n)
                 starts = ends - n
-                names = pa.array(docs, mask=np.arange(len(docs)) < r["nulls"])  # null ids come first
-                crc = [zlib.crc32(ids[lo:hi].tobytes()) for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(n), r["part"], np.int32)), pa.array(starts + r["start"]), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "part", "start", "n_tokens", "ids_crc32"])
+                names = pa.array(docs, mask=np.arange(len(docs)) < nulls)  # null ids come first
+                crc = [zlib.crc32(ids[lo:hi]) for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(n), part, np.int32)), pa.array(starts + before), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "part", "start", "n_tokens", "ids_crc32"])
 
+    lean(spark)
     return spark.read.schema(BLOCKS).parquet(path).mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
 
 

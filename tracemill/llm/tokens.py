@@ -22,12 +22,14 @@ import regex
 
 END = 1
 NAME = "word_bpe_49k.json"
-KEPT_SPLITS = 400_000
+KEPT_SPLITS = 300_000  # about 75 MB
 LONG_SPLIT = 64  # characters; longer ones are not kept
 #: Characters whose normal form, case and class no Unicode version disputes: all below U+0500 but controls, combining accents, and two
 #: letters whose lower case depends on their place or is longer.
 PLAIN = "!-~\u00a1-\u012f\u0131-\u02ff\u0370-\u03a2\u03a4-\u04ff"
 _PLAIN_TEXT = regex.compile(f"[ \\t-\\r{PLAIN}]*+").fullmatch
+#: Which units of UTF-16 are such a character that is its own normal form; without combining accents, a text of these is then normal too.
+_PLAIN_UNIT = np.array([c < 0x500 and bool(_PLAIN_TEXT(chr(c))) and unicodedata.is_normalized("NFC", chr(c)) for c in range(1 << 16)])
 
 
 def tokenizer_path() -> str:
@@ -91,8 +93,12 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def rest(self) -> None:
+        """Drops the table of splits, which else stays with a reused worker."""
+        self.splits.clear()
+
     def _plain(self, text: str) -> bool:
-        return bool(_PLAIN_TEXT(text)) and not any(t in text for t in self.special) and (text.isascii() or unicodedata.is_normalized("NFC", text))
+        return bool(_PLAIN_UNIT[np.frombuffer(text.encode("utf-16-le"), "<u2")].all()) and not any(t in text for t in self.special)
 
     def _ids(self, text: str) -> bytes:
         if self._plain(text):
@@ -102,11 +108,12 @@ class Encoder:
             return b"".join([self._ids(w) for w in words])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text, its ids and END as integers of self.kind."""
+    def encode(self, texts: list[str | None], kept: int | None = None) -> list[bytes]:
+        """For each text, its ids and END as integers of self.kind. kept: splits whose ids are kept, at most, but for those of one text."""
         out = []
+        kept = KEPT_SPLITS if kept is None else kept
         for t in texts:
-            if len(self.splits) > KEPT_SPLITS:
+            if len(self.splits) > kept:
                 self.splits.clear()
             t = t or ""
             if not t.isascii():
@@ -115,7 +122,7 @@ class Encoder:
         return out
 
 
-def encoded(batch: pa.RecordBatch, path: str, column: int = 1, most: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def encoded(batch: pa.RecordBatch, path: str, column: int = 1, most: int = 2 << 20, kept: int | None = None) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, last row, ids of each) for parts of a batch of about `most` characters."""
     encoder = Encoder.of(path)
     texts, first, size = [], 0, 0
@@ -124,7 +131,7 @@ def encoded(batch: pa.RecordBatch, path: str, column: int = 1, most: int = 2 <<
         texts.append(t)
         size += len(t or "")
         if size > most:
-            yield first, i + 1, encoder.encode(texts)
+            yield first, i + 1, encoder.encode(texts, kept)
             texts, first, size = [], i + 1, 0
     if texts:
-        yield first, len(batch), encoder.encode(texts)
+        yield first, len(batch), encoder.encode(texts, kept)
