@@ -1,12 +1,17 @@
 """Interleaved document sequences: ordered text and media references of HTML, with payloads resolved by digest.
 
 sequence() parses a page into its items in order: texts, and media with source, caption (figcaption, else alt) and position.
-media_store() keeps payloads as images of 8-bit samples (binary PPM, 64 pixels a row: 192 bytes), one row for each digest a task
-meets, and reads them back to compute features. resolve() joins references to payloads by digest, so a payload that many documents
-share is stored and measured once, and positions and captions stay with their references.
+payloads() stores media as images of 8-bit samples (binary PPM, 64 pixels a row: 192 bytes), one row for each digest a task meets;
+measured() reads them back and computes features. resolve() joins references to media by digest, so a payload that many documents
+share is stored and measured once, and positions and captions stay with their references. Both sides of that join are plain tables,
+so Spark can split a digest that many documents share.
+
+pages_of() renders documents as pages: their own lines as paragraphs, a mark of their source before them, and the payload as a figure
+in their middle, so references stand between texts as on real pages.
 
 Null text: an empty payload, which is padded to 192 spaces. References whose digest is unknown stay, with nulls. Rows of equal id
-are separate documents. An empty table gives no rows.
+are separate documents. An empty table gives no rows. Columns of a page table that are called like a result (items, position, caption, the
+measures) are left out. A very long text is held by one worker, with its page and its payload.
 """
 
 from __future__ import annotations
@@ -21,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table
 from .dom import BLOCK, Node, parse
+from .sharding import CRC_TABLE, bytes_sql, crc_sql
 
 ROW, WIDTH = 192, 64
 URN = "urn:sha256:"
@@ -48,12 +54,14 @@ def from_image(image: bytes) -> bytes:
 
 
 def feature(samples: bytes) -> str:
-    """Size, mean of each channel, and an 8 x 8 average hash of the brightness."""
+    """Size, mean of each channel, and an 8 x 8 average hash of the brightness: which cells are brighter than the whole, in exact integers."""
     x = np.frombuffer(samples, np.uint8).reshape(-1, WIDTH, 3)
     light = x.sum(axis=2, dtype=np.int64)
     rows = np.unique(np.arange(8) * len(light) // 8)
-    cells = np.add.reduceat(light.reshape(len(light), 8, 8).sum(axis=2), rows, axis=0) / np.diff([*rows, len(light)])[:, None]
-    bits = "".join("01"[int(b)] for b in (cells > cells.mean()).ravel()).ljust(64, "0")
+    cells = np.add.reduceat(light.reshape(len(light), 8, 8).sum(axis=2), rows, axis=0)
+    area = np.diff([*rows, len(light)]) * 8
+    total, pixels = int(light.sum()), light.size
+    bits = "".join("01"[int(c) * pixels > total * int(a)] for line, a in zip(cells, area, strict=True) for c in line).ljust(64, "0")
     mean = x.reshape(-1, 3).mean(axis=0)
     return f"{WIDTH}x{len(x)};rgb={mean[0]:.3f},{mean[1]:.3f},{mean[2]:.3f};ahash={int(bits, 2):016x}"
 
@@ -110,37 +118,66 @@ def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
             items = pa.array([sequence(x.as_py()) for x in batch.column(len(keep))], _ITEM)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], items], [*keep, "items"])
 
+    lean(pages.sparkSession)
     return pages.select(*keep, html_col).mapInArrow(run, f"{fields}items {ITEMS}")
 
 
-def rendered(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, source, text. doc_id, n_bytes, html (a page that refers to the text's payload), digest, and media: the stored form, null where the task has had the digest."""
+def _payload(text: str | None) -> tuple[int, bytes, str]:
+    """Bytes of the text, the padded payload, and its digest."""
+    payload = (text or "").encode("utf-8", "surrogatepass")
+    whole = padded(payload)
+    return len(payload), whole, hashlib.sha256(whole).hexdigest()
+
+
+def page_of(text: str | None, source: str | None, digest: str) -> str:
+    """The lines of a text as paragraphs, around a figure that refers to its payload."""
+    lines = html.escape(text or "", quote=False).split("\n")
+    name = html.escape(source or "")
+    mark = hashlib.sha256(padded((source or "").encode("utf-8", "surrogatepass"))).hexdigest()
+    half = len(lines) // 2
+    paragraphs = ["<p>" + x + "</p>" if x.strip() else "" for x in lines]
+    figure = f"<figure><figcaption>{name} {PAYLOAD}</figcaption><img src='{URN}{digest}' alt='{PAYLOAD}'></figure>"
+    return f"<article><img src='{URN}{mark}' alt='{name}'>{''.join(paragraphs[:half])}{figure}{''.join(paragraphs[half:])}</article>"
+
+
+PAYLOAD = "payload"
+
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, source, text. doc_id, n_bytes, digest (of its payload) and html (see page_of)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for source, text in zip(batch.column(1), batch.column(2), strict=True):
+                text = text.as_py()
+                n, _, digest = _payload(text)
+                rows.append((n, digest, page_of(text, source.as_py(), digest)))
+            n, digest, page = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(page, pa.string())], ["doc_id", "n_bytes", "digest", "html"])
+
+    lean(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, html string")
+
+
+def payloads(docs: DataFrame) -> DataFrame:
+    """docs: text. digest and media (the stored form) of each text's payload, once for each task that meets it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for batch in batches:
-            lo, size, rows = 0, 0, []
-            for i, (source, text) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                payload = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                whole = padded(payload)
-                digest = hashlib.sha256(whole).hexdigest()
-                name = html.escape(source.as_py() or "")
-                page = f"<article><p>{name}</p><figure><img src='{URN}{digest}'><figcaption>{name} payload</figcaption></figure></article>"
-                rows.append((len(payload), page, digest, None if digest in seen else to_image(whole)))
-                seen.add(digest)
-                size += len(whole)
-                if size > 16 << 20:
-                    yield _batch(batch.column(0).slice(lo, i + 1 - lo), rows)
-                    lo, size, rows = i + 1, 0, []
-            if rows:
-                yield _batch(batch.column(0).slice(lo), rows)
-
-    def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-        n, page, digest, media = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(page), pa.array(digest), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "html", "digest", "media"])
+            rows = []
+            for text in batch.column(0):
+                _, whole, digest = _payload(text.as_py())
+                if digest not in seen:
+                    seen.add(digest)
+                    rows.append((digest, to_image(whole)))
+            digest, media = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, html string, digest string, media binary")
+    lean(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, "digest string, media binary")
 
 
 def measured(store: DataFrame) -> DataFrame:
@@ -157,7 +194,8 @@ def measured(store: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["digest", *MEASURES])
 
-    own = store.where("media IS NOT NULL").select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    lean(store.sparkSession)
+    own = store.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return own.groupBy("digest").agg(*[F.first(c).alias(c) for c in MEASURES])
 
 
@@ -165,12 +203,33 @@ MEASURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "med
 
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
-    """items: a table with items (see sequences). A row per media reference, with its position and caption and what media has for its digest."""
-    refs = items.select("*", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("_item")).drop("items")
-    refs = refs.select(*[c for c in refs.columns if c not in ("_item", *MEASURES, "position", "caption")], F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.regexp_extract("_item.source", f"^{URN}([0-9a-f]{{64}})$", 1).alias("digest"))
-    return refs.join(media, "digest", "left").drop("digest")
+    """items: a table with items (see sequences). A row per media reference, with its position and caption and what media (a stored table of
+    measured()) has for its digest."""
+    keep = [c for c in items.columns if c not in ("items", "position", "caption", *MEASURES)]
+    refs = items.select(*keep, F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("_item"))
+    refs = refs.select(*keep, F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.regexp_extract("_item.source", f"^{URN}([0-9a-f]{{64}})$", 1).alias("_digest"))
+    return refs.join(media, refs["_digest"] == media["digest"], "left").select(*[refs[c] for c in keep], "position", "caption", *[media[c] for c in MEASURES])
 
 
 def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = stored(rendered(table(spark, sf_dir, "documents")))
-    return resolve(sequences(store.select("doc_id", "n_bytes", "html")), measured(store)).select("doc_id", "n_bytes", *MEASURES, "position", "caption")
+    docs = table(spark, sf_dir, "documents")
+    store = stored(payloads(docs))
+    media = stored(measured(store))
+    refs = resolve(sequences(pages_of(docs).drop("digest")), media)
+    return refs.where(F.col("caption").endswith(f" {PAYLOAD}")).select("doc_id", "n_bytes", *MEASURES, "position", "caption")
+
+
+ORACLE = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, source, coalesce(text, '') t, strlen(coalesce(text, ''))::BIGINT n, greatest(1, (strlen(coalesce(text, '')) + 191) // 192) h FROM documents),
+p AS (SELECT doc_id, source, t, n, h, encode(t) || encode(repeat(' ', (192 * h - n)::INT)) payload FROM d),
+m AS (SELECT *, encode('P6' || chr(10) || '{WIDTH} ' || h || chr(10) || '255' || chr(10)) || payload AS media, {bytes_sql('payload')} b FROM p),
+u AS (SELECT doc_id, h, unnest(b) v, unnest(range(192 * h)) i FROM m),
+c AS (SELECT doc_id, h, avg(v) FILTER (i % 3 = 0) r, avg(v) FILTER (i % 3 = 1) g, avg(v) FILTER (i % 3 = 2) b, sum(v) total FROM u GROUP BY doc_id, h),
+k AS (SELECT doc_id, h, CASE WHEN h < 8 THEN i // 192 ELSE (8 * (i // 192 + 1) - 1) // h END y, i % 192 // 24 x, sum(v) light, count(*) // 3 area FROM u GROUP BY ALL),
+a AS (SELECT doc_id, sum(CASE WHEN light * 64 * k.h > total * area THEN 1::UBIGINT << (63 - 8 * y - x) ELSE 0 END)::UBIGINT hash FROM k JOIN c USING (doc_id) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN i <= len(string_split(t, chr(10))) // 2 AND regexp_matches(x, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END), lambda x: x = 1) before FROM d)
+SELECT doc_id, m.n n_bytes, 192 * m.h payload_bytes, sha256(payload) payload_sha256, {crc_sql('m.b[-16:]')}::BIGINT tail_crc32, octet_length(media)::BIGINT media_bytes, sha256(media) media_sha256,
+  format('{WIDTH}x{{}};rgb={{:.3f}},{{:.3f}},{{:.3f}};ahash={{:016x}}', m.h, c.r, c.g, c.b, a.hash) feature, (1 + len(before))::INT AS position, trim(coalesce(m.source, '') || ' {PAYLOAD}') AS caption
+FROM m JOIN c USING (doc_id) JOIN a USING (doc_id) JOIN l USING (doc_id), crc
+"""
