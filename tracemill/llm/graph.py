@@ -1,11 +1,18 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps. Nothing is collected."""
+"""Connected components of an edge table, by alternating large-star and small-star steps. Nothing is collected.
+
+Joins are between plain tables, so Spark can split the neighbours of a hot node over tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
+
+
+def _least(e: DataFrame) -> DataFrame:
+    """node, m: the smallest neighbour of each node that has a smaller one."""
+    return stored(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,12 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = None
     while True:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
-        e = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        least = _least(e)
+        x = e.join(least, e["a"] == least["node"], "left")
+        large = stored(x.select(F.coalesce("m", "a").alias("a"), "b").distinct())  # what is larger than a goes to the smallest beside a
+        low = _least(large)
+        y = large.join(low, large["b"] == low["node"])
+        small = y.where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(low.select(F.col("m").alias("x"), F.col("node").alias("y")))
+        last, e = e, stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        discard(last, least, large, low)
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             return e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
