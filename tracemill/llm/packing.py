@@ -6,7 +6,9 @@ window are the columns of a matrix; non-negative least squares gives how often e
 feasible, and what is left is packed greedily, largest first. Only the histogram (window / UNIT counts) is on the driver, and
 only the plan made from it, of as bounded a size, is broadcast; each document finds its place by its rank among those of its length.
 
-Null text: just the end id. Rows of equal id are separate documents. An empty table gives no rows.
+Null text: just the end id. Rows of equal id, and of null id, are separate documents; where several are equal in all but place, they are
+interchangeable. An empty table gives no rows. Columns but doc_id and text don't matter. A long text is held by one worker, with its
+ids, and takes one row of windows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table, tidied
 from .tokens import Encoder, encoded, tokenizer_path
 
 WINDOW = 2048
@@ -42,8 +44,10 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None)
                 ids = [np.frombuffer(x, Encoder.of(path).kind) for x in texts]
                 crcs = [[crc_ids(x[i : i + window]) for i in range(0, len(x), window)] for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "n", "crcs"])
+        Encoder.of(path).rest()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, crcs array<long>")
+    lean(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n long, crcs array<long>")
 
 
 def combinations(bins: int, depth: int = DEPTH) -> np.ndarray:
@@ -152,7 +156,7 @@ def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, path: str | No
     spark = docs.sparkSession
     sized = stored(token_pieces(docs, window, path))
     rest = F.col("n") % window
-    sized = sized.withColumn("_full", F.floor(F.col("n") / window)).withColumn("_rest", rest).withColumn("_bin", F.ceil(rest / unit).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    sized = sized.withColumn("_full", F.floor(F.col("n") / window)).withColumn("_rest", rest).withColumn("_bin", F.ceil(rest / unit).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(SALTS)))
     c2 = sized.groupBy("_bin", "_salt").agg(F.count("*").alias("_c"), F.sum("_full").alias("_f"))
     histogram = np.zeros(window // unit, np.int64)
     for r in c2.where("_bin > 0").groupBy("_bin").agg(F.sum("_c").alias("c")).collect():
@@ -192,5 +196,5 @@ def op5_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: where each piece of each document goes."""
+    """Pipeline stage: where each piece of each document goes. Null texts are just an end id; null and repeated ids are packed like others."""
     return pack(docs)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lean, mixed, raw, table, words
+from .common import chunks, lean, mixed, raw, table, tidy, words
 
 WINDOW = 8  # words of the windows of the base rule
 LEAST = 4  # words of the shortest repeat that the method counts
@@ -168,7 +168,9 @@ def measured(text: Column, **limits) -> Column:
     """A struct of NAMES. Only the text goes to Python; the row's other columns stay in the JVM."""
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(measure(column, **limits), NAMES)
+        out = pa.StructArray.from_arrays(measure(column, **limits), NAMES)
+        tidy()
+        return out
 
     return F.arrow_udf(run, f"struct<{SCHEMA}>").asNondeterministic()(text)
 

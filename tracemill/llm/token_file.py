@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_GROUP, discard, lean, new_path, stored, table
+from .common import ROW_GROUP, discard, lean, new_path, stored, table, tidied
 from .tokens import Encoder, encoded, tokenizer_path
 
 LONGEST = 18  # bits of a code word, at most
@@ -135,7 +135,7 @@ def _tokens(docs: DataFrame, path: str) -> DataFrame:
 
     names = ["doc_id", "row", "digest", "ids", "token", "n"]
     lean(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, row long, digest long, ids binary, token int, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, row long, digest long, ids binary, token int, n long")
 
 
 def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, to: str | None = None) -> tuple[str
     to = to or new_path(spark)
     order = ["doc_id", "digest", "row"]  # rows of one id, or of none, can be parted too
     own = tokens.where("token IS NULL").select(*order, "ids").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
-    own.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP).parquet(to)
+    own.mapInArrow(tidied(run), BLOCKS).write.option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP).parquet(to)
     discard(tokens)
     return to, lengths
 
