@@ -1,6 +1,10 @@
 """License scan: an Aho-Corasick automaton finds identifier tags and notice phrases, a shunting-yard parser evaluates licence expressions.
 
-Null or empty text: no words, no labels, score 0. Repeated rows are scanned alike; columns that are not named are ignored.
+Expressions come from identifier tags, and from notices: phrases that only an operator and filler words part are one expression ("under
+the MIT license or the Apache license"). Of each expression, `permits` is what its labels allow: or takes the best side, and the worst.
+
+Null or empty text: no words, no labels, score 0. Repeated rows are scanned alike. An empty table gives no rows. A text of any length is scanned
+in one pass, in memory of a few times its size. Columns but id and text don't matter; an id column called like a result is refused.
 """
 
 from __future__ import annotations
@@ -12,13 +16,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table
 
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notice phrases that the method adds.
 NOTICES = {
-    "all rights reserved": "proprietary",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
@@ -28,6 +31,13 @@ NOTICES = {
     "bsd 3 clause": "bsd",
     "eclipse public license": "epl",
     "isc license": "isc",
+    "artistic license": "artistic",
+    "zlib license": "zlib",
+    "boost software license": "bsl",
+    "european union public license": "eupl",
+    "gnu free documentation license": "gfdl",
+    "open database license": "odbl",
+    "creative commons zero": "cc0",
     "creative commons attribution": "cc-by",
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
@@ -35,7 +45,7 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 #: How much a licence permits, by the first part of its label; others count as UNKNOWN.
-PERMITS = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "0bsd": 1.0, "unlicense": 1.0, "cc0": 1.0, "public": 1.0, "mpl": 0.6, "lgpl": 0.6, "epl": 0.6, "gpl": 0.4, "agpl": 0.3, "proprietary": 0.0}
+PERMITS = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "0bsd": 1.0, "unlicense": 1.0, "cc0": 1.0, "public": 1.0, "mpl": 0.6, "lgpl": 0.6, "epl": 0.6, "gpl": 0.4, "agpl": 0.3, "zlib": 1.0, "bsl": 1.0, "artistic": 0.8, "eupl": 0.5, "odbl": 0.5, "gfdl": 0.4}
 UNKNOWN, NONCOMMERCIAL, EXCEPTION = 0.2, 0.1, 0.2
 #: Strength of one finding.
 SURE, PHRASE, NOTICE, BROKEN = 0.99, 0.9, 0.6, 0.3
@@ -44,6 +54,9 @@ _WORD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65
 _EXPRESSION = re.compile(r"(?i)spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t]*[:=][ \t]*([^\n\r\"'<>;*]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.:+-]+|\S")
 _ORDER = {"OR": 1, "AND": 2, "WITH": 3}
+#: Words that may stand beside an operator between two phrases of one expression.
+_FILLERS = frozenset(b"the a an either under license licence version v terms of at your option 1 2 3 4 0 1.0 2.0 3.0".split())
+_BETWEEN = 6  # words between two phrases of one expression, at most
 
 
 def label(identifier: str) -> str:
@@ -136,29 +149,49 @@ def automaton(notices: dict[str, str] | None = None) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for kind, phrases in (("base", BASE), ("notice", NOTICES if notices is None else notices), ("tag", {TAG: ""})):
         for phrase, name in phrases.items():
-            a.add_word(f" {phrase} ", (kind, name, phrase.count(" ") + 1, len(phrase) + 2))
+            a.add_word(f" {phrase} ", (kind, name, phrase.count(" ") + 1))
     a.make_automaton()
     return a
 
 
+def statements(hits: list[tuple[int, int, str]], found: list[bytes]) -> list[str]:
+    """Expressions of the phrases in a text. hits: first word, last word and label of each, in order; a phrase within another is left to it."""
+    out: list[list[str]] = []
+    last = -1
+    for first, end, name in hits:
+        if end <= last:
+            continue
+        between = [x.upper().decode("utf-8", "replace") for x in found[last + 1 : first] if x not in _FILLERS] if out and first > last and first - last <= _BETWEEN + 1 else []
+        if len(between) == 1 and between[0] in _ORDER:
+            out[-1] += [between[0], name]
+        else:
+            out.append([name])
+        last = end
+    return [" ".join(x) for x in out]
+
+
 def scan(text: str | None, a: ahocorasick.Automaton) -> dict:
     """Every finding in one whole text."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
     line = f" {b' '.join(found).decode('utf-8', 'surrogatepass')} "
-    base, names, starts, miss, value, tags = 0, set(), [], 1.0, None, False
-    base_names = set()
-    for end, (kind, name, _, length) in a.iter(line):
-        if kind == "base":
-            base += 1
-            base_names.add(name)
-            starts.append(line.count(" ", 0, end - length + 2) - 1)
+    names, base_names, starts, miss, tags = set(), set(), [], 1.0, False
+    hits: list[tuple[int, int, str]] = []
+    at, n = 0, 0  # n words stand in the line before at
+    for end, (kind, name, size) in a.iter(line):
+        n += line.count(" ", at, end)
+        at = end
         if kind == "tag":
             tags = True
             continue
+        if kind == "base":
+            base_names.add(name)
+            starts.append(n - size)
+        hits.append((n - size, n - 1, name))
         names.add(name)
         miss *= 1 - (PHRASE if kind == "base" else NOTICE)
-        value = permits(name) if value is None else min(value, permits(name))
-    said = []
+    hits.sort(key=lambda x: (x[0], -x[1]))
+    said = statements(hits, found)
+    values = [evaluate(x)[0] for x in said]
     if tags:
         for m in _EXPRESSION.finditer(text):
             said.append(m[1].strip())
@@ -169,10 +202,10 @@ def scan(text: str | None, a: ahocorasick.Automaton) -> dict:
                 continue
             names |= own
             miss *= 1 - SURE
-            value = worth if value is None else min(value, worth)
+            values.append(worth)
     return {
-        "n_words": len(found), "n_base": base, "first_word": min(starts, default=None), "last_word": max(starts, default=None),
-        "base_labels": ",".join(sorted(base_names)), "labels": ",".join(sorted(names)), "score": 1 - miss, "permits": value, "expressions": "\n".join(said),
+        "n_words": len(found), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
+        "base_labels": ",".join(sorted(base_names)), "labels": ",".join(sorted(names)), "score": 1 - miss, "permits": min(values, default=None), "expressions": "\n".join(said),
     }
 
 
@@ -181,12 +214,15 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] | None = None) -> DataFrame:
     """One row per row of df: its id and what scan() finds. No shuffle; memory is that of one Arrow batch."""
+    if id_col in _ARROW.names:
+        raise ValueError(f"the id column is called like a result: {id_col}")
+    lean(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(notices)
         for batch in batches:
-            rows = [scan(x, a) for x in batch.column(1).to_pylist()]
+            rows = [scan(x.as_py(), a) for x in batch.column(1)]
             ids = batch.column(0)
             own = pa.Table.from_pylist(rows, schema=_ARROW) if rows else _ARROW.empty_table()
             for part in own.combine_chunks().to_batches():
