@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import line_dedup, mixing, ngram_join, packing, quality
-from tracemill.llm.common import stored, table
+from tracemill.llm.common import discard, stored, table
 
 STAGES = [
     ("quality rules", quality.filter_stage),
@@ -15,15 +15,14 @@ STAGES = [
     ("packing", packing.pack_stage),
 ]
 
-#: Tokenization and shingle links are beyond SQL; tests hold the pipeline against a brute-force version.
+#: Tokenization is beyond SQL; tests hold each stage against a brute-force version on what its predecessor kept.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, over the whole table documents; each stage's result is written and read again."""
+    """The last stage's rows, over the whole table documents; each stage's result is written and read again, until the next one's is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        last, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(last)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,10 @@ QUERIES = {
     "op10_huffman_tokens": token_file.op10_huffman_tokens,
 }
 ORACLES = {
+    "op2_quality_rules": quality.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
+    "op4_kd_sharding": sharding.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_interleaved_media": media.ORACLE,
 }
