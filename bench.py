@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from tracemill.plans import registry
 
-NAMES = ["oper_stats", "service_stats", "trace_summary", "call_chain", "chain_stats", "chain_repair", "rate", "stitch_oper", "anomalies", "graph_edges"]
+NAMES = ["oper_stats", "service_stats", "trace_summary", "call_chain", "chain_stats", "chain_repair", "rate", "stitch_oper", "anomalies", "graph_edges", "stitch_chain_metrics", "graph_service", "chain_errors"]
 
 
 def main() -> None:
@@ -20,6 +20,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    registry.QUERIES["service_stats"](spark, sf).write.format("noop").mode("overwrite").save()  # starts what a session starts once
     found = {}
     for name in NAMES:
         began = time.time()

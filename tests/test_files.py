@@ -52,6 +52,18 @@ def test_commands(spark, folder, capsys):
     report = (folder / "st/stitched.csv").read_text().split("\n")
     heads = [line for line in report if line.startswith("## ")]
     assert len(heads) == 9 and all(report[int(line.split("@ row ")[1].split(":")[0]) - 1].startswith("## ") for line in report[3:12])
+    v = Viewer.from_folder(spark, str(folder / "out0"))
+    lists = {r.chain_key.count("|"): (r["count"], r.chain_type, r.idx) for r in v.chain_list("C", operation="opC").collect()}
+    assert not v.is_time_series and lists[2] == (6, "end2end", 1) and v.chain_list("C", operation="none").count() == 0
+    passing = v.chain_list("B", "all").collect()
+    assert len(passing) == 1 and passing[0].inbound_idx == 1 and v.chain_list("B", "all", inbound_idx=2).count() == 0
+    w = Viewer.from_folder(spark, str(folder / "st"))
+    assert w.is_time_series and w.columns == 3 and w.chain_list("C").first()["count"] == 12
+    assert "A/opA -->|10| B/opB" in w.diagram("B") and "A/opA -->|5| B/opB" in v.diagram("B")
+    with pytest.raises(FileNotFoundError):
+        Viewer.from_folder(spark, str(folder / "in0"))
+    cli.main(["mermaid", str(folder / "st"), "-s", "B/opB", "-o", str(folder / "mm")])
+    assert (folder / "mm/diagram.mmd").read_text().split("\n")[3] == "graph LR"
     cli.main(["show_traces", str(folder / "in0"), "-o", str(folder / "show"), "-t", "t0-1"])
     again = json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(str(folder / "show/Traces")).collect()))
     assert again["data"][0]["traceID"] == "t0-1" and len(again["data"][0]["spans"]) == 3

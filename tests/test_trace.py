@@ -73,7 +73,10 @@ def test_exponential_fit(spark):
 def test_operation_names_and_labels(spark):
     x = spark.createDataFrame([("/a/T2023-01-02_12345/b",), ("/a/2023-01-02_12345",), ("/s/0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f",), ("/v-123456-2023",), ("/acc/1234567",)], "op string")
     assert [r[0] for r in x.select(S.unify_operation(F.col("op"))).collect()] == ["/a/{TIME}/b", "/a/{TIME2}", "/s/{SAVINGS}", "/v-{VIEW}", "/acc/{ACCOUNT}"]
-    assert spark.range(1).select(S.month_label(F.lit("run 20230718 x"), F.lit(3))).first()[0] == "July-18"
+    for said, label in (("run 20230718 x", "July-18"), ("x 20230908", "Sept-8"), ("20240101", "Jan-1"), ("20241231 20240101", "Dec-31"), ("no day", "3")):
+        assert spark.range(1).select(S.month_label(F.lit(said), F.lit(3))).first()[0] == label
+    row = spark.createDataFrame([(1689678502462000,)], "us long").select(S.datetime_text(F.col("us")), S.datetime_text(F.col("us"), 120, True), S.datetime_micros(S.datetime_text(F.col("us"), -90), -90), S.datetime_text(F.col("us") * 0 - 1)).first()
+    assert tuple(row) == ("2023-07-18 11:08:22.462000", "2023-07-18 13:08:22.462", 1689678502462000, "1969-12-31 23:59:59.999999")
     assert Metric.of("Rate (req/sec)") is Metric.RATE
     with pytest.raises(ValueError):
         Metric.of("none")
@@ -100,6 +103,27 @@ def test_json_ingest_and_viewer(spark, tmp_path):
     assert jaeger.stitch_list(["# head", "% gap", "x/a.json # one", ""], "/b") == [(None, "head", None), (0, "gap", None), (1, "one", "/b/x/a.json")]
 
 
+def test_repair_with_a_shared_suffix(spark):
+    """A suffix that 10,000 known chains share repairs nothing, and costs one row; one that one or two have does."""
+    call = lambda s: (s, "op", "Unknown")
+    known = [("r", [call(f"a{i}"), call("z")], True) for i in range(10000)] + [("r", [call("b"), call("y")], True), ("r", [call("c"), call("x")], True), ("r", [call("d"), call("x")], False)]
+    kind = "array<struct<service:string,operation:string,call_direction:string>>"
+    broken = [(k, "r", [call(k)], "", leaf) for k, leaf in (("z", True), ("y", False), ("x", True), ("w", True))]
+    got = st.repair_chains(spark.createDataFrame(broken, f"chain_key string, endpoint string, call_chain {kind}, caching_process string, is_leaf boolean"), spark.createDataFrame(known, f"endpoint string, call_chain {kind}, is_leaf boolean")).collect()
+    assert {(r.chain_key, r.matches, r.new_key) for r in got} == {("y", 1, "b/op | y/op & &  *LEAF*"), ("x", 2, "c/op | x/op & &  *LEAF*")}
+
+
+def test_chains_are_added(spark, tmp_path):
+    """Labels stay, and what a folder has isn't written again."""
+    kind = "endpoint string, call_chain array<struct<service:string,operation:string,call_direction:string>>, is_leaf boolean, caching_process string"
+    a, b = ("e1", [("s", "o", "Inbound")], True, " [s]"), ("e2", [("s", "o/p", "Unknown"), ("t", "q", "Outbound")], False, "")
+    path = jaeger.chain_folder(str(tmp_path / "known"), ["y", "x"])
+    for rows in ([a], [a, b], [b]):
+        jaeger.write_chains(spark.createDataFrame(rows, kind), path)
+    got = {(r.endpoint, tuple(map(tuple, r.call_chain)), r.is_leaf, r.caching_process) for r in jaeger.read_known(spark, path).collect()}
+    assert path.endswith("/x_y") and spark.read.text(path).count() == 2 and got == {(e, tuple(c), leaf, label.strip()) for e, c, leaf, label in (a, b)}
+
+
 def test_chain_file_round_trip(spark, tmp_path):
     (tmp_path / "c.cchain").write_text("# known\n\ngw/GET:/x | a/op [Inbound] & &  *LEAF*\n")
     r = jaeger.read_chains(spark, str(tmp_path / "c.cchain")).first()

@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("trace_analysis", help="a snapshot of trace files: tables, statistics and issues")
     a.add_argument("--caching-process", default="")
     a.add_argument("-c", "--decimal-point", action="store_true")
-    a.add_argument("-k", "--known-chains", help="table of known chains of earlier runs")
+    a.add_argument("-k", "--known-chains", help="folder of known chains of earlier runs, to which this run's are added")
     a.add_argument("-f", "--form", choices=["parquet", "json"], default="parquet")
     s = sub.add_parser("stitch", help="series, report and anomalies of listed snapshots")
     s.add_argument("-d", "--drop-count", type=int, default=0)
@@ -60,6 +60,13 @@ def main(args: list[str] | None = None) -> None:
         n = reports.anomalies_csv(found, len(paths), f"{a.output}/anomalies.csv", slope=a.slope, st_slope=a.st_slope, deviation=a.deviation)
         print(f"{n} anomalies")
         return
+    service, _, operation = getattr(a, "service_oper", "").partition("/")
+    if a.command == "mermaid" and (jaeger.exists(spark, f"{a.input}/operations") or jaeger.exists(spark, f"{a.input}/oper_stats")):
+        text = Viewer.from_folder(spark, a.input).diagram(service, operation or None, a.call_chain, a.edge_value, a.scope, a.compact)
+        Path(a.output).mkdir(parents=True, exist_ok=True)
+        (Path(a.output) / "diagram.mmd").write_text(text, encoding="utf-8")
+        print(text)
+        return
     traces, again = sp.dedup_traces(jaeger.read_traces(spark, a.input), ["file_id", "trace_pos"])
     if a.command == "show_traces":
         snapshots.write_traces(traces, f"{a.output}/Traces", a.trace_ids)
@@ -67,11 +74,14 @@ def main(args: list[str] | None = None) -> None:
     spans, issues = jaeger.to_spans(traces)
     if a.command == "trace_analysis":
         caching = [x for x in a.caching_process.split(",") if x]
-        known = spark.read.parquet(a.known_chains) if a.known_chains else None
+        kept = jaeger.chain_folder(a.known_chains, caching) if a.known_chains else None
+        known = jaeger.read_known(spark, kept).drop("caching_process") if kept and jaeger.exists(spark, kept) else None
         spans = _written(spans, f"{a.output}/clean")
         tables = sn.analyse(spans, caching, known, lambda df, name: _written(df, f"{a.output}/{name}"))
         snapshots.write_snapshot(tables, a.output, a.form)
         reports.statistics_csv(tables, f"{a.output}/statistics.csv", not a.decimal_point)
+        if kept:
+            jaeger.write_chains(spark.read.format(a.form).load(f"{a.output}/known_chains"), kept)
         reports.issues_report({"Spans": issues, "Traces that came again": again}, f"{a.output}/report.txt")
         return
     keyed = st.with_keys(sp.with_paths(spans))
@@ -79,7 +89,6 @@ def main(args: list[str] | None = None) -> None:
         for line in reports.table(graph.process_nodes(keyed), ["service", "direction", "operation"]):
             print(line)
         return
-    service, _, operation = a.service_oper.partition("/")
     print(Viewer(spans, keyed, 1).diagram(service, operation or None, a.call_chain, a.edge_value, a.scope, a.compact))
 
 

@@ -18,6 +18,7 @@ REWRITES = (
 DIRECTIONS = {"server": "Inbound", "consumer": "Inbound", "client": "Outbound", "producer": "Outbound"}
 #: Names of months in labels.
 MONTHS = ("Jan", "Febr", "March", "April", "May", "June", "July", "Aug", "Sept", "Oct", "Nov", "Dec")
+#: Operations that are plain requests, the root of traces without one, and the mark of a leaf.
 CACHED_OPERATIONS = ("GET", "POST", "HEAD", "QUERY")
 UNKNOWN_ROOT = "_UNKNOWN_"
 LEAF = " *LEAF*"
@@ -115,12 +116,34 @@ def chain_type(rooted: Column, is_leaf: Column) -> Column:
 
 
 def month_label(description: Column, index: Column) -> Column:
-    """Month-day of the first yyyymmdd in a description; else the index."""
+    """Month-day (without leading zero) of the first yyyymmdd in a description; else the index."""
     day = F.regexp_extract(description, r"\d{4}(0[1-9]|1[0-2])([0-2]\d|3[01])", 2)
     month = F.regexp_extract(description, r"\d{4}(0[1-9]|1[0-2])([0-2]\d|3[01])", 1)
     name = F.element_at(F.array(*map(F.lit, MONTHS)), F.greatest(F.coalesce(month.try_cast("int"), F.lit(1)), F.lit(1)))
-    return F.when(day != "", F.concat(name, F.lit("-"), day)).otherwise(index.cast("string"))
+    return F.when(day != "", F.concat(name, F.lit("-"), day.try_cast("int").cast("string"))).otherwise(index.cast("string"))
 
 
 def string_hash(s: Column) -> Column:
-    return F.hex(F.xxhash64(s))
+    """16 hexadecimal digits that stand for a text."""
+    return F.upper(F.substring(F.md5(s), 1, 16))
+
+
+DAY_US = 86_400_000_000
+
+
+def datetime_text(us: Column, offset_minutes: int = 0, millis: bool = False) -> Column:
+    """yyyy-mm-dd hh:mm:ss and the fraction, of µs since 1970 moved by an offset from UTC. The session's time zone doesn't matter."""
+    x = us + F.lit(60_000_000 * offset_minutes)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(x / F.lit(DAY_US)).cast("int")).cast("string")
+    s = F.pmod(x, F.lit(DAY_US))
+    part = lambda unit, of: F.pmod(F.floor(s / F.lit(unit)), F.lit(of))
+    rest = F.format_string("%03d", part(1000, 1000)) if millis else F.format_string("%06d", part(1, 1_000_000))
+    return F.concat(day, F.format_string(" %02d:%02d:%02d.", part(3_600_000_000, 24), part(60_000_000, 60), part(1_000_000, 60)), rest)
+
+
+def datetime_micros(text: Column, offset_minutes: int = 0) -> Column:
+    """µs since 1970 of a text that datetime_text made with the same offset."""
+    number = lambda at, n: F.substring(text, at, n).cast("long")
+    days = F.datediff(F.substring(text, 1, 10).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    fraction = F.rpad(F.substring(text, 21, 6), 6, "0").cast("long")
+    return days * DAY_US + number(12, 2) * 3_600_000_000 + number(15, 2) * 60_000_000 + number(18, 2) * 1_000_000 + fraction - 60_000_000 * offset_minutes

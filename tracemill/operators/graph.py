@@ -13,6 +13,9 @@ from . import stats as st
 POSITIONS = ("Unknown", "Outbound", "Inbound", "OutboundCenter", "InboundCenter", "Center")
 SCOPES = {"full": POSITIONS, "centered": POSITIONS[3:], "inbound": ("Inbound", "InboundCenter", "Center"), "outbound": ("Outbound", "OutboundCenter", "Center")}
 LINKS = ("Default", "Reachable", "Emphasized")
+#: Colours and styles of a diagram's nodes and links.
+COLOURS, LINK_STYLE = {2: "#3333ff", 1: "#99ccff"}, "stroke-width:4px,color:blue"
+CENTRE_FILL, OPERATION_FILL = "fill:#00b33c", "fill:#00802b"
 #: Edge values of a diagram: metric labels and columns.
 VALUES = {"count": "count", "rate (req/sec)": "rate", "average duration millis": "avg_ms", "p75 millis": "p75_ms", "p90 millis": "p90_ms", "p95 millis": "p95_ms", "p99 millis": "p99_ms"}
 
@@ -136,25 +139,28 @@ def mermaid(edge_rows: list, value: str = "count", title: str | None = None, ser
     out.append("graph LR")
     for s in sorted(nodes):
         if whole_services:
-            out += [f'  {esc(s)}(["{s}"])'] + ([f"  style {esc(s)} fill:#00b33c"] if s == service else [])
+            out += [f'  {esc(s)}(["{s}"])'] + ([f"  style {esc(s)} {CENTRE_FILL}"] if s == service else [])
             continue
         out.append(f'  subgraph {esc(s)} ["{s}"]' if esc(s) != s else f"  subgraph {s}")
         for o in sorted(nodes[s]):
             out.append(f'    {esc(s + "/" + o)}(["{s}/{o}"])')
             if s == service and o == operation:
-                out.append(f"    style {esc(s + '/' + o)} fill:#00802b")
-        out += ["  end"] + ([f"  style {esc(s)} fill:#00b33c"] if s == service else [])
+                out.append(f"    style {esc(s + '/' + o)} {OPERATION_FILL}")
+        out += ["  end"] + ([f"  style {esc(s)} {CENTRE_FILL}"] if s == service else [])
     for (a, b), (v, w, kind) in links.items():
         text = "" if v is None else f"|{v:.0f}|" if w is None else f"|{v:.0f}/{w:.0f}|"
         out.append(f"  {esc(a)} {'==>' if kind == 2 else '-->'}{text} {esc(b)}")
-    for kind, colour in ((2, "#3333ff"), (1, "#99ccff")):
+    for kind, colour in COLOURS.items():
         own = [str(i) for i, k in enumerate(links.values()) if k[2] == kind]
         if own:
-            out.append(f"linkStyle {','.join(own)} stroke:{colour},stroke-width:4px,color:blue;")
+            out.append(f"linkStyle {','.join(own)} stroke:{colour},{LINK_STYLE};")
     return "\n".join(out) + "\n"
 
 
 def inbound_prefix(chains: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """chains: chain_key. The index of the longest of prefixes (prefix, idx) that a key starts with; 0 if none. prefixes is a viewer's list."""
-    hit = chains.join(prefixes, F.startswith("chain_key", "prefix"), "left")
-    return hit.groupBy("chain_key").agg(F.coalesce(F.max_by("idx", F.length("prefix")), F.lit(0)).alias("inbound_idx"))
+    """chains: chain_key. The index of the longest of prefixes (prefix, idx) that a key starts with; 0 if none. prefixes is a viewer's list. Keys are
+    cut at the lengths that prefixes have (no more of them than the longest has characters), so the match is an equi join."""
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
+    cut = chains.select("chain_key").distinct().select("chain_key", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n")).where("_n <= length(chain_key)")
+    hit = cut.select("chain_key", F.expr("left(chain_key, _n)").alias("prefix")).join(prefixes, "prefix").groupBy("chain_key").agg(F.max_by("idx", F.length("prefix")).alias("inbound_idx"))
+    return chains.select("chain_key").distinct().join(hit, "chain_key", "left").select("chain_key", F.coalesce("inbound_idx", F.lit(0)).alias("inbound_idx"))

@@ -50,6 +50,49 @@ def chain_stats(keyed: DataFrame) -> DataFrame:
     return h.groupBy("chain_key").agg(F.first("depth").alias("depth"), F.first("is_leaf").alias("is_leaf"), F.bool_and("rooted").alias("rooted"), F.sum("_c").alias("count"), *T.time_stats())
 
 
+def root_calls(traces: DataFrame) -> DataFrame:
+    return traces.groupBy("root_call").agg(F.count("*").alias("count"))
+
+
+def path_counts(keyed: DataFrame, pattern: str, replacement: str) -> DataFrame:
+    """How often each path of services and operations is taken; the first match of a pattern in a path's text is rewritten."""
+    text = F.array_join(F.transform("call_chain", S.plain_call), "|")
+    return keyed.groupBy(F.regexp_replace(text, pattern, replacement).alias("path")).agg(F.count("*").alias("count"))
+
+
+def http_errors(spans: DataFrame) -> DataFrame:
+    """Calls per service and HTTP status, of spans that have one."""
+    return spans.where("http_status_code IS NOT NULL").groupBy("service", "http_status_code").agg(F.count("*").alias("count"))
+
+
+def tag_frequency(tags: DataFrame) -> DataFrame:
+    """tags: an array of keys per span. Spans with each key, and their percentage of all."""
+    n = tags.agg(F.count("*").alias("_n"))  # one row
+    own = tags.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count("*").alias("count"))
+    return own.join(F.broadcast(n)).select("tag", "count", F.round(100 * F.col("count") / F.col("_n"), 6).alias("percentage"))
+
+
+def _failed(spans: DataFrame) -> DataFrame:
+    return flagged(spans).where("_bad OR _err")
+
+
+def error_traces(spans: DataFrame) -> DataFrame:
+    """Traces with spans whose status isn't 200 or that logged an error, and how many such spans."""
+    return _failed(spans).groupBy("trace_id").agg(F.count("*").alias("n_errors"))
+
+
+def error_share(spans: DataFrame) -> DataFrame:
+    """One row: traces, those with an error, and their percentage."""
+    own = flagged(spans).groupBy("trace_id").agg(F.bool_or(F.col("_bad") | F.col("_err")).alias("_failed"))
+    return own.agg(F.count("*").alias("num_traces"), F.count_if("_failed").alias("num_failed"), F.round(100 * F.count_if("_failed") / F.count("*"), 6).alias("percentage"))
+
+
+def reference_check(spans: DataFrame) -> DataFrame:
+    """spans: num_refs, how many references a span has. Per trace, the spans with none and those with several; traces where all but one have one are fine."""
+    n = F.col("num_refs")
+    return spans.groupBy("trace_id").agg(F.count_if(n == 0).alias("n_without"), F.count_if(n > 1).alias("n_several"), (F.count_if(n != 1) == 1).alias("fine"))
+
+
 def snapshot_summary(traces: DataFrame) -> DataFrame:
     """Counts and, for spans, duration and time to respond, least, mean (whole part) and most."""
     three = [f(c).alias(f"{n}_{c}") for c in ("num_spans", "duration_us", "time_to_respond_us") for n, f in (("min", F.min), ("avg", lambda x: F.floor(F.sum(x) / F.count(x))), ("max", F.max))]
@@ -76,10 +119,13 @@ def merge_known(known: DataFrame, new: DataFrame) -> DataFrame:
 
 def repair_chains(broken: DataFrame, known: DataFrame) -> DataFrame:
     """broken: chain_key, endpoint, call_chain, caching_process, is_leaf. Where exactly one known chain of the endpoint ends with a broken one it is adopted;
-    of two, the one of equal is_leaf, else the last. The caching label stays. Suffixes are exploded, so the match is an equi join."""
+    of two, the one of equal is_leaf, else the last. The caching label stays. Suffixes are exploded and pre-aggregated: of each, how many known
+    chains end so and the last of either kind. So the match is an equi join with a row per suffix, however many chains share it."""
     suffixes = known.select(F.col("endpoint").alias("_endpoint"), F.col("call_chain").alias("full"), F.col("is_leaf").alias("full_leaf"), F.explode(F.transform(F.sequence(F.lit(1), F.size("call_chain")), lambda i: F.slice("call_chain", i, F.size("call_chain")))).alias("suffix"))
-    hits = broken.join(suffixes, (F.col("endpoint") == F.col("_endpoint")) & (F.col("call_chain") == F.col("suffix")))
-    order = F.struct((F.col("is_leaf") == F.col("full_leaf")).alias("same"), F.array_join(F.transform("full", S.call_text), " | ").alias("text"), "full", "full_leaf")
-    best = hits.groupBy("chain_key", "endpoint").agg(F.count("*").alias("matches"), F.first("caching_process").alias("caching"), F.max(order).alias("best")).where("matches <= 2")
+    last = F.struct(F.array_join(F.transform("full", S.call_text), " | ").alias("text"), "full", "full_leaf")
+    ends = suffixes.groupBy("_endpoint", "suffix").agg(F.count("*").alias("matches"), F.max(F.when(F.col("full_leaf"), last)).alias("_leaf"), F.max(F.when(~F.col("full_leaf"), last)).alias("_inner")).where("matches <= 2")
+    own = broken.dropDuplicates(["chain_key", "endpoint"])
+    hits = own.join(ends, (F.col("endpoint") == F.col("_endpoint")) & (F.col("call_chain") == F.col("suffix")))
+    best = hits.select("chain_key", "endpoint", "matches", F.col("caching_process").alias("caching"), F.when(F.col("is_leaf"), F.coalesce("_leaf", "_inner")).otherwise(F.coalesce("_inner", "_leaf")).alias("best"))
     new = S.chain_key(F.col("best.full"), F.col("caching"), F.col("best.full_leaf"))
     return best.select("chain_key", "endpoint", "matches", new.alias("new_key"), F.col("best.full").alias("new_chain"), F.col("best.full_leaf").alias("new_leaf"))

@@ -12,6 +12,7 @@ from ..operators import snapshot as sn
 from ..operators import spans as sp
 from ..operators import stats as st
 from ..operators import stitch as R
+from .viewer import Viewer
 from .testspans import PATHS, SPANS, paths, spans
 
 QUERIES: dict = {}
@@ -61,7 +62,7 @@ three = lambda c: f"min({c}) min_{c}, floor(sum({c}) / count(*))::BIGINT avg_{c}
 query("snapshot_summary", f"WITH {SPANS}, {TRACES} SELECT count(*) num_traces, count(DISTINCT file_id) num_files, count(DISTINCT endpoint) num_endpoints, count(*) FILTER (num_missing > 0) num_incomplete, {three('num_spans')}, {three('duration_us')}, {three('time_to_respond_us')} FROM records")(
     lambda s, d: st.snapshot_summary(sp.trace_records(paths(s, d)))
 )
-query("root_call_counts", f"WITH {SPANS}, {TRACES} SELECT root_call, count(*) count FROM records GROUP BY root_call")(lambda s, d: sp.trace_records(paths(s, d)).groupBy("root_call").agg(F.count("*").alias("count")))
+query("root_call_counts", f"WITH {SPANS}, {TRACES} SELECT root_call, count(*) count FROM records GROUP BY root_call")(lambda s, d: st.root_calls(sp.trace_records(paths(s, d))))
 query("span_parent", f"WITH RECURSIVE {PATHS} SELECT p.trace_id, p.span_idx, CASE WHEN p.parent_id IS NULL THEN 'Root' WHEN p.parent_id LIKE 'lost-%' THEN 'MissingParent' ELSE 'Parent' END AS position, q.span_idx parent_idx FROM paths p LEFT JOIN spans q ON p.trace_id = q.trace_id AND p.parent_id = q.span_id")(
     lambda s, d: paths(s, d).select("trace_id", "span_idx", "position", "parent_idx")
 )
@@ -81,7 +82,7 @@ query("chain_type_counts", f"WITH RECURSIVE {PATHS}, c AS (SELECT chain_key, boo
     lambda s, d: st.chain_stats(keyed(s, d)).groupBy(S.chain_type(F.col("rooted"), F.col("is_leaf")).alias("chain_type")).agg(F.count("*").alias("count"))
 )
 query("chained_stats", f"WITH RECURSIVE {PATHS} SELECT replace(array_to_string(plain, '|'), '/api', 'api') path, count(*) count FROM paths GROUP BY 1")(
-    lambda s, d: keyed(s, d).groupBy(F.regexp_replace(F.array_join(F.transform("call_chain", lambda c: F.concat(c["service"], F.lit("/"), c["operation"])), "|"), "/api", "api").alias("path")).agg(F.count("*").alias("count"))
+    lambda s, d: st.path_counts(keyed(s, d), "/api", "api")
 )
 query("expected_root", f"WITH RECURSIVE {PATHS}, {TRACES}, n AS (SELECT chain_key, root_call, count(*) n, min((p.trace_id, p.span_idx)) seen FROM chains p JOIN records USING (trace_id) WHERE NOT rooted GROUP BY chain_key, root_call) SELECT chain_key, arg_min(root_call, (-n, seen)) expected_root FROM n GROUP BY chain_key")(
     lambda s, d: st.expected_roots(keyed(s, d), sp.trace_records(paths(s, d)))
@@ -112,7 +113,7 @@ query("unify_operation", f"WITH {SPANS} SELECT operation_raw, operation, count(*
 query("endpoint_key", f"WITH {SPANS} SELECT DISTINCT translate(service || operation_raw, '/\\;:', '____') AS endpoint FROM spans")(lambda s, d: spans(s, d).select(S.endpoint_key(F.concat("service", "operation_raw")).alias("endpoint")).distinct())
 query("log_truncate", "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN substr(text, 1, 100) || '...TRUNCATED' ELSE text END msg FROM documents")(lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.truncate_message(F.col("text")).alias("msg")))
 query("call_direction", f"WITH {SPANS} SELECT span_kind, call_direction, count(*) count FROM spans GROUP BY 1, 2")(lambda s, d: spans(s, d).groupBy("span_kind", "call_direction").agg(F.count("*").alias("count")))
-query("http_error_counts", f"WITH {SPANS} SELECT service, http_status_code, count(*) count FROM spans WHERE http_status_code IS NOT NULL GROUP BY 1, 2")(lambda s, d: spans(s, d).where("http_status_code IS NOT NULL").groupBy("service", "http_status_code").agg(F.count("*").alias("count")))
+query("http_error_counts", f"WITH {SPANS} SELECT service, http_status_code, count(*) count FROM spans WHERE http_status_code IS NOT NULL GROUP BY 1, 2")(lambda s, d: st.http_errors(spans(s, d)))
 query("chain_errors", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) FILTER (log_level = 'ERROR') n_errors, count(*) FILTER (http_status_code <> 200) n_not_ok FROM chains GROUP BY chain_key")(
     lambda s, d: keyed(s, d).groupBy("chain_key").agg(F.count_if(F.col("log_level") == "ERROR").alias("n_errors"), F.count_if(S.http_not_ok(F.col("http_status_code"))).alias("n_not_ok"))
 )
@@ -122,13 +123,14 @@ query("chain_errors", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) FILTER
 def tag_frequency(s: SparkSession, d: str) -> DataFrame:
     x = spans(s, d)
     names = {"span_kind": "span.kind", "http_status_code": "http.status_code", "log_level": "log.level"}
-    n = x.agg(F.count("*").alias("_n"))
-    tags = x.select(F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(v)) for c, v in names.items()]))).alias("tag")).groupBy("tag").agg(F.count("*").alias("count"))
-    return tags.join(F.broadcast(n)).select("tag", "count", F.round(100 * F.col("count") / F.col("_n"), 6).alias("percentage"))
+    return st.tag_frequency(x.select(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(v)) for c, v in names.items()])).alias("tags")))
 
 
-query("error_traces", f"WITH {SPANS} SELECT trace_id, count(*) n_errors FROM spans WHERE http_status_code <> 200 OR log_level = 'ERROR' GROUP BY trace_id")(lambda s, d: spans(s, d).where("http_status_code <> 200 OR log_level = 'ERROR'").groupBy("trace_id").agg(F.count("*").alias("n_errors")))
-query("root_ref_check", f"WITH {SPANS} SELECT trace_id, count(*) FILTER (parent_id IS NULL) n_without FROM spans GROUP BY trace_id")(lambda s, d: spans(s, d).groupBy("trace_id").agg(F.count_if(F.col("parent_id").isNull()).alias("n_without")))
+query("error_traces", f"WITH {SPANS} SELECT trace_id, count(*) n_errors FROM spans WHERE http_status_code <> 200 OR log_level = 'ERROR' GROUP BY trace_id")(lambda s, d: st.error_traces(spans(s, d)))
+query("error_share", f"WITH {SPANS}, t AS (SELECT trace_id, bool_or((http_status_code <> 200) IS TRUE OR log_level IS NOT NULL) bad FROM spans GROUP BY trace_id) SELECT count(*) num_traces, count(*) FILTER (bad) num_failed, round(100 * count(*) FILTER (bad) / count(*), 6) percentage FROM t")(lambda s, d: st.error_share(spans(s, d)))
+query("root_ref_check", f"WITH {SPANS}, r AS (SELECT trace_id, CASE WHEN parent_id IS NULL THEN 0 WHEN n % 11 = 0 THEN 2 ELSE 1 END refs FROM (SELECT *, span_idx + trace_id::BIGINT n FROM spans)) SELECT trace_id, count(*) FILTER (refs = 0) n_without, count(*) FILTER (refs > 1) n_several, count(*) FILTER (refs <> 1) = 1 fine FROM r GROUP BY trace_id")(
+    lambda s, d: st.reference_check(spans(s, d).withColumn("num_refs", F.when(F.col("parent_id").isNull(), 0).when((F.col("span_idx") + F.col("trace_id").cast("long")) % 11 == 0, 2).otherwise(1)))
+)
 RATE = """g AS (SELECT service, operation, start_us - lag(start_us) OVER (PARTITION BY service, operation ORDER BY start_us) gap FROM spans),
 n AS (SELECT *, row_number() OVER (PARTITION BY service, operation ORDER BY gap NULLS LAST) r, count(*) OVER (PARTITION BY service, operation) n FROM g),
 a AS (SELECT service, operation, n, avg(gap) FILTER (r <= n - 1 - 4) a, max(gap) FILTER (r = (n - 5) // 2 + 1) m FROM n GROUP BY service, operation, n)
@@ -188,10 +190,10 @@ query("process_list_lexical", f"WITH {SPANS}, c AS (SELECT DISTINCT service || '
     lambda s, d: R.lexicographic(spans(s, d).select(F.concat("service", F.lit("/"), "operation").alias("name")).distinct(), "name")
 )
 query("chain_list_inbound", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) count FROM chains WHERE plain[len(plain)] = 'svc1/api/' || 'A/{{ACCOUNT}}' OR plain[len(plain)] LIKE 'svc1/%' GROUP BY chain_key")(
-    lambda s, d: keyed(s, d).where(F.element_at("call_chain", -1)["service"] == "svc1").groupBy("chain_key").agg(F.count("*").alias("count"))
+    lambda s, d: Viewer(spans(s, d), keyed(s, d), 1).chain_counts("svc1").drop("chain_type")
 )
 query("chain_list_end2end", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) count FROM chains WHERE plain[len(plain)] NOT LIKE 'svc1/%' AND contains(chain_key, 'svc1/') AND is_leaf GROUP BY chain_key")(
-    lambda s, d: keyed(s, d).where((F.element_at("call_chain", -1)["service"] != "svc1") & F.contains("chain_key", F.lit("svc1/")) & F.col("is_leaf")).groupBy("chain_key").agg(F.count("*").alias("count"))
+    lambda s, d: Viewer(spans(s, d), keyed(s, d), 1).chain_counts("svc1", "end2end").drop("chain_type")
 )
 query("graph_edges", f"WITH RECURSIVE {PATHS}, e AS (SELECT svcs[-2] from_service, plain[-2][len(svcs[-2]) + 2 :] from_operation, svcs[-1] to_service, plain[-1][len(svcs[-1]) + 2 :] to_operation, duration_us FROM paths WHERE depth >= 2) SELECT from_service, from_operation, to_service, to_operation, count(*) count, round(avg(duration_us) / 1000, 6) avg_ms FROM e GROUP BY ALL")(lambda s, d: G.edges(keyed(s, d)))
 query("graph_compact", f"WITH RECURSIVE {PATHS} SELECT svcs[-2] from_service, svcs[-1] to_service, count(*) count FROM paths WHERE depth >= 2 GROUP BY 1, 2")(lambda s, d: G.compact(G.edges(keyed(s, d))))
@@ -216,7 +218,7 @@ query("graph_reachable", f"WITH RECURSIVE {PATHS} SELECT regexp_extract(chain_ke
 query("process_nodes", f"WITH RECURSIVE {PATHS}, x AS (SELECT unnest([(svcs[i], CASE WHEN dirs[i] <> 'Outbound' AND (i = 1 OR svcs[i - 1] <> svcs[i]) THEN 'Inbound' ELSE dirs[i] END, plain[i][len(svcs[i]) + 2 :]) FOR i IN range(1, len(svcs) + 1)]) r FROM paths) SELECT r[1] service, r[2] direction, r[3] AS operation, count(*) count FROM x GROUP BY ALL")(lambda s, d: G.process_nodes(keyed(s, d)))
 query("chain_path_errors", f"WITH RECURSIVE {PATHS} SELECT chain_key, round(count(*) FILTER (bad) / count(*), 6) frac_not_http_ok, round(count(*) FILTER (err) / count(*), 6) frac_error_logs FROM chains GROUP BY chain_key")(lambda s, d: sn.chain_counters(keyed(s, d)))
 query("chain_list_all", f"WITH RECURSIVE {PATHS} SELECT chain_key, count(*) count FROM chains WHERE plain[len(plain)] NOT LIKE 'svc1/%' AND contains(chain_key, 'svc1/') GROUP BY chain_key")(
-    lambda s, d: keyed(s, d).where((F.element_at("call_chain", -1)["service"] != "svc1") & F.contains("chain_key", F.lit("svc1/"))).groupBy("chain_key").agg(F.count("*").alias("count"))
+    lambda s, d: Viewer(spans(s, d), keyed(s, d), 1).chain_counts("svc1", "all").drop("chain_type")
 )
 
 
@@ -244,7 +246,39 @@ query("stitch_oper_metrics", f"WITH {SPANS}, " + _metrics_sql("service, operatio
 query("stitch_chain_metrics", f"WITH RECURSIVE {PATHS}, " + _metrics_sql("chain_key", "chains", "count(*) FILTER (http_status_code <> 200) / count(*) bad, count(*) FILTER (log_level = 'ERROR') / count(*) err"))(
     lambda s, d: _rounded(sn.series(keyed(s, d), _traces(s, d), ["chain_key"]), 6)
 )
-query("string_hash")(lambda s, d: spans(s, d).select("operation").distinct().withColumn("hash", S.string_hash(F.col("operation"))))
-query("label_list", "SELECT o_orderkey, ['Jan','Febr','March','April','May','June','July','Aug','Sept','Oct','Nov','Dec'][month(o_orderdate)] || '-' || strftime(o_orderdate, '%d') AS label FROM orders")(
+query("string_hash", f"WITH {SPANS} SELECT DISTINCT operation, upper(substr(md5(operation), 1, 16)) hash FROM spans")(lambda s, d: spans(s, d).select("operation").distinct().withColumn("hash", S.string_hash(F.col("operation"))))
+query("label_list", "SELECT o_orderkey, ['Jan','Febr','March','April','May','June','July','Aug','Sept','Oct','Nov','Dec'][month(o_orderdate)] || '-' || day(o_orderdate) AS label FROM orders")(
     lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.month_label(F.concat(F.lit("export "), F.date_format("o_orderdate", "yyyyMMdd")), F.col("o_orderkey")).alias("label"))
 )
+query("datetime_text", f"WITH {SPANS} SELECT trace_id, span_idx, strftime(make_timestamp(start_us::BIGINT + 7200000000), '%Y-%m-%d %H:%M:%S.%f') AS text, start_us::BIGINT again FROM spans")(
+    lambda s, d: spans(s, d).withColumn("text", S.datetime_text(F.col("start_us"), 120)).select("trace_id", "span_idx", "text", S.datetime_micros(F.col("text"), 120).alias("again"))
+)
+query("known_chains_merged", f"WITH RECURSIVE {PATHS}, {TRACES}, k AS (SELECT DISTINCT endpoint, path, is_leaf FROM chains JOIN records USING (trace_id) WHERE rooted AND num_missing = 0 AND snapshot_id < 14 UNION SELECT DISTINCT endpoint, path, is_leaf FROM chains JOIN records USING (trace_id) WHERE rooted AND num_missing = 0 AND snapshot_id >= 14) SELECT endpoint, array_to_string(path, ' | ') AS chain, is_leaf FROM k")(
+    lambda s, d: st.merge_known(*[st.known_chains(keyed(s, d).where(c), sp.trace_records(paths(s, d))) for c in ("snapshot_id < 14", "snapshot_id >= 14")]).select("endpoint", F.array_join(F.transform("call_chain", S.call_text), " | ").alias("chain"), "is_leaf")
+)
+
+
+@query(
+    "inbound_prefix",
+    f"""WITH RECURSIVE {PATHS}, c AS (SELECT DISTINCT chain_key, array_to_string(path, ' | ') txt, svcs[-1] svc FROM chains), i AS (SELECT *, row_number() OVER (ORDER BY n DESC, chain_key) idx FROM (SELECT chain_key, count(*) n, any_value(array_to_string(path, ' | ')) txt FROM chains WHERE svcs[-1] = 'svc1' GROUP BY chain_key)),
+  p AS (SELECT txt, min(idx) idx FROM i GROUP BY txt), o AS (SELECT chain_key FROM c WHERE svc <> 'svc1' AND contains(chain_key, 'svc1/'))
+  SELECT chain_key, coalesce(arg_max(p.idx, length(p.txt)), 0)::INT inbound_idx FROM o LEFT JOIN p ON starts_with(chain_key, p.txt) GROUP BY chain_key""",
+)
+def inbound_prefix(s: SparkSession, d: str) -> DataFrame:
+    v = Viewer(spans(s, d), keyed(s, d), 1)
+    return G.inbound_prefix(v.chain_counts("svc1", "all"), v.inbound_prefixes("svc1"))
+
+
+@query(
+    "chain_fixes",
+    f"""WITH RECURSIVE {PATHS}, {TRACES}, {KNOWN}, n AS (SELECT chain_key, root_call, count(*) n, min((p.trace_id, p.span_idx)) seen FROM chains p JOIN records USING (trace_id) WHERE NOT rooted GROUP BY chain_key, root_call),
+  e AS (SELECT chain_key, translate(arg_min(root_call, (-n, seen)), '/\\;:', '____') endpoint FROM n GROUP BY chain_key), x AS (SELECT endpoint, path AS whole, is_leaf wl, path[i :] suffix FROM known, unnest(range(1, len(path) + 1)) u(i)),
+  b AS (SELECT DISTINCT chain_key, endpoint, path, is_leaf FROM chains JOIN e USING (chain_key) WHERE NOT rooted),
+  h AS (SELECT b.chain_key, array_to_string(whole, ' | ') txt, wl, (b.is_leaf = wl) same FROM b JOIN x ON b.endpoint = x.endpoint AND b.path = x.suffix),
+  f AS (SELECT chain_key, arg_max(txt, (same, txt)) || ' & & ' || CASE WHEN arg_max(wl, (same, txt, wl)) THEN ' *LEAF*' ELSE '' END new_key FROM h GROUP BY chain_key HAVING count(*) <= 2)
+  SELECT CASE WHEN NOT c.rooted THEN coalesce(new_key, c.chain_key) ELSE c.chain_key END chain_key, count(*) count, bool_and(c.rooted OR new_key IS NOT NULL) rooted FROM chains c LEFT JOIN f ON c.chain_key = f.chain_key GROUP BY 1""",
+)
+def chain_fixes(s: SparkSession, d: str) -> DataFrame:
+    """The chains after repair, by the path that snapshots take."""
+    k, t = keyed(s, d), sp.trace_records(paths(s, d))
+    return sn.repaired(k, sn.chain_fixes(k, t, st.known_chains(k, t))).groupBy("chain_key").agg(F.count("*").alias("count"), F.bool_and("rooted").alias("rooted"))

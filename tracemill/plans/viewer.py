@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import graph, snapshot, stitch
+from ..sources import jaeger
 
 
 class Metric(Enum):
@@ -45,11 +47,31 @@ class Metric(Enum):
 
 
 class Viewer:
-    """series: service, operation, metric, x, y. keyed: spans with chains (operators.stats.with_keys). Viewers don't change; select() gives a new one."""
+    """series: service, operation, metric, x, y. keyed: spans with chains (operators.stats.with_keys), or, where there are no spans, chains with their
+    count (stitched series). Viewers don't change; select() gives a new one."""
 
     def __init__(self, series: DataFrame, keyed: DataFrame, columns: int):
         self.series, self.keyed, self.columns = series, keyed, columns
 
+    @classmethod
+    def from_folder(cls, spark: SparkSession, path: str) -> Viewer:
+        """The viewer of a folder that the command trace_analysis or stitch wrote. Raises FileNotFoundError if it is neither."""
+        if jaeger.exists(spark, f"{path}/operations"):
+            series = spark.read.parquet(f"{path}/operations")
+            parsed = S.parse_chain(F.col("chain_key"))
+            chains = spark.read.parquet(f"{path}/chain_info").withColumn("_p", parsed).select("chain_key", F.col("_p.chain").alias("call_chain"), "is_leaf", "rooted", "count")
+            return cls(series, chains, 1 + (spark.read.parquet(f"{path}/basic").agg(F.max("x")).first()[0] or 0))
+        if not jaeger.exists(spark, f"{path}/oper_stats"):
+            raise FileNotFoundError(f"no snapshot and no stitched series: {path}")
+        own = spark.read.parquet(f"{path}/oper_stats").withColumnRenamed("occurrence", "occurance percentage").withColumn("x", F.lit(0))
+        return cls(snapshot._long(own, ["service", "operation", "x"], snapshot.OPERATION), spark.read.parquet(f"{path}/spans"), 1)
+
+    def chains(self, statistics: bool = False) -> DataFrame:
+        """chain_key, call_chain, steps and count of each chain; with statistics, where there are spans."""
+        if "count" in self.keyed.columns:
+            return self.keyed.withColumn("steps", F.transform("call_chain", S.plain_call))
+        return graph.chain_table(self.keyed, statistics)
+
     @property
     def is_time_series(self) -> bool:
         return self.columns > 1
@@ -64,14 +86,31 @@ class Viewer:
             return stitch.lexicographic(self.series.select(name).distinct(), "name")
         return stitch.ranked(self.lines().where(F.col("metric") == metric).select(name, F.coalesce("growth", F.lit(-1.0)).alias("rank")), "rank", "name")
 
-    def chain_list(self, service: str, scope: str = "inbound") -> DataFrame:
-        """Chains that end in a service; or (end2end: leaves, all) that only pass through it."""
-        own = F.element_at("call_chain", -1)["service"] == service
+    def chain_counts(self, service: str, scope: str = "inbound", operation: str | None = None) -> DataFrame:
+        """chain_key, count, chain_type of chains that end in a service or one of its operations; or (end2end: leaves, all) that only pass through it."""
+        last = F.element_at("call_chain", -1)
+        own = (last["service"] == service) & (F.lit(True) if operation is None else last["operation"] == operation)
         x = self.keyed
-        x = x.where(own) if scope == "inbound" else x.where(~own & F.contains("chain_key", F.lit(f"{service}/")))
+        x = x.where(own) if scope == "inbound" else x.where(~own & F.contains("chain_key", F.lit(f"{service}/{operation or ''}")))
         if scope == "end2end":
             x = x.where("is_leaf")
-        return stitch.ranked(x.groupBy("chain_key").agg(F.count("*").alias("rank")), "rank", "chain_key")
+        n = F.sum("count") if "count" in x.columns else F.count("*")
+        return x.groupBy("chain_key").agg(n.alias("count"), S.chain_type(F.bool_and("rooted"), F.bool_and("is_leaf")).alias("chain_type"))
+
+    def inbound_prefixes(self, service: str, operation: str | None = None) -> DataFrame:
+        """prefix, idx: the texts of the chains that end there, by the place of their chain in the list."""
+        x = self.chain_list(service, "inbound", operation).select(F.regexp_extract("chain_key", "^(.*?) & ", 1).alias("prefix"), "idx")
+        return x.groupBy("prefix").agg(F.min("idx").alias("idx"))
+
+    def chain_list(self, service: str, scope: str = "inbound", operation: str | None = None, inbound_idx: int | None = None) -> DataFrame:
+        """chain_counts() with rank (the count) and idx from 1. Chains that pass through have inbound_idx too, which of the inbound chains they begin with (0: none),
+        and may be limited to one."""
+        x = self.chain_counts(service, scope, operation).withColumn("rank", F.col("count"))
+        if scope != "inbound":
+            x = x.join(graph.inbound_prefix(x, self.inbound_prefixes(service, operation)), "chain_key")
+            if inbound_idx is not None:
+                x = x.where(F.col("inbound_idx") == inbound_idx)
+        return stitch.ranked(x, "rank", "chain_key")
 
     def chart(self, service: str, operation: str, metric: str) -> DataFrame:
         """x, observed, linear, exponential."""
@@ -102,5 +141,7 @@ class Viewer:
         if metric not in graph.VALUES:
             raise ValueError(f"{metric} can't be shown on a link")
         name = service if operation is None else f"{service}/{operation}"
-        rows = graph.service_graph(graph.chain_table(self.keyed, metric != "count"), graph.paths(self.keyed), service, operation, selected).collect()
+        if metric != "count" and "count" in self.keyed.columns:
+            raise ValueError("stitched chains have counts only")
+        rows = graph.service_graph(self.chains(metric != "count"), graph.paths(self.keyed), service, operation, selected).collect()  # a row for each pair of calls
         return graph.mermaid([r.asDict() for r in rows], graph.VALUES[metric], f"{name} (metric={metric})", service, operation, scope, compact)

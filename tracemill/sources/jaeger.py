@@ -83,6 +83,28 @@ def stitch_list(lines: list[str], base: str = ".") -> list[tuple[int | None, str
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def chain_folder(path: str, caching: list[str] | None = None) -> str:
+    """Where the chains of a set of caching processes are kept."""
+    return f"{path}/{'_'.join(sorted(caching)) if caching else 'default'}"
+
+
 def write_chains(known: DataFrame, path: str) -> None:
-    """known: endpoint, call_chain, is_leaf; a text per endpoint folder, one rendered chain a line."""
-    known.select("endpoint", S.chain_key(F.col("call_chain"), F.lit(""), F.col("is_leaf")).alias("value")).write.mode("overwrite").partitionBy("endpoint").text(path)
+    """known: endpoint, call_chain, is_leaf, and caching_process if there is any; a text per endpoint folder, one rendered chain a line. What is there stays, and
+    chains that it has aren't written again."""
+    label = F.col("caching_process") if "caching_process" in known.columns else F.lit("")
+    new = known.select("endpoint", S.chain_key(F.col("call_chain"), label, F.col("is_leaf")).alias("value")).distinct()
+    if exists(known.sparkSession, path):
+        old = known.sparkSession.read.text(path).select(F.col("endpoint").cast("string").alias("endpoint"), "value")
+        new = new.join(old, ["endpoint", "value"], "left_anti")
+    new.write.mode("append").partitionBy("endpoint").text(path)
+
+
+def read_known(spark: SparkSession, path: str) -> DataFrame:
+    """endpoint, call_chain, is_leaf, caching_process of what write_chains() wrote."""
+    x = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')")
+    return x.select(F.col("endpoint").cast("string").alias("endpoint"), S.parse_chain(F.col("value")).alias("p")).select("endpoint", F.col("p.chain").alias("call_chain"), "p.is_leaf", F.col("p.caching").alias("caching_process"))
