@@ -1,6 +1,7 @@
 """Queries against their SQL, and operators on small hand-made traces."""
 
 import json
+import random
 
 import duckdb
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import scalar as S
 from tracemill.functions import timestats as T
+from tracemill.operators import snapshot as sn
 from tracemill.operators import spans as sp
 from tracemill.operators import stats as st
 from tracemill.operators import stitch as R
@@ -51,6 +53,59 @@ def test_paths_of_odd_traces(spark):
     assert got["lost", "y"].position == "MissingParent" and got["loop", "p"].position == "Cycle" and not got["loop", "p"].rooted
 
 
+def test_paths_and_errors_by_brute_force(spark):
+    """Random traces with lost, repeated and null ids, several roots and cycles, against a walk from each span to its end."""
+    rng = random.Random(5)
+    spec = []
+    for t in range(60):
+        n = rng.randint(1, 12)
+        ids = [rng.choice([None, f"s{i}", f"s{i}", f"s{i}", f"s{rng.randint(0, n)}"]) for i in range(n)]
+        for i in range(n):
+            at = 3 * i + rng.randint(0, 2)
+            spec.append((f"t{t}" if t else None, at, ids[i], rng.choice([None, "gone", *[f"s{rng.randint(0, n)}"] * 6]), f"v{i}", "op", "Unknown", rng.choice([200, 200, 500, None]), rng.choice([None, "ERROR", "INFO"]), {"k": str(i)}))
+    x = spark.createDataFrame(spec, "trace_id string, span_idx int, span_id string, parent_id string, service string, operation string, call_direction string, http_status_code short, log_level string, attributes map<string,string>")
+    got = {(r.trace_id, r.span_idx): r for r in sn.path_errors(sp.with_paths(x.repartition(3))).collect()}
+    # joins lose null trace ids: those are compared without errors
+    paths = {(r.trace_id, r.span_idx): r for r in sp.with_paths(x).collect()}
+    assert len(paths) == len(spec) and len(got) == sum(s[0] is not None for s in spec)
+    for trace in {s[0] for s in spec}:
+        own = sorted((s for s in spec if s[0] == trace), key=lambda s: s[1])
+        first = {}
+        for i, s in enumerate(own):
+            first.setdefault(s[2], i)
+        is_root = [s[3] is None or s[3] == s[2] for s in own]
+        up = [None if is_root[i] else first.get(s[3]) for i, s in enumerate(own)]
+        for i, s in enumerate(own):
+            way = [i]
+            while up[way[-1]] is not None and len(way) <= len(own):
+                way.append(up[way[-1]])
+            ended = len(way) <= len(own)
+            r = paths[trace, s[1]]
+            assert r.position == ("Cycle" if not ended else "Root" if is_root[i] else "MissingParent" if up[i] is None else "Parent")
+            assert r.parent_idx == (None if up[i] is None else own[up[i]][1]) and r.is_leaf == (i not in up) and r.attributes == s[9]
+            assert r.rooted == (ended and sum(is_root) == 1 and is_root[way[-1]])
+            if ended:
+                assert [c.service for c in r.call_chain] == [own[j][4] for j in reversed(way)]
+                if trace is not None:
+                    e = got[trace, s[1]]
+                    assert (e.path_bad, e.path_err) == (any(own[j][7] == 500 for j in way), any(own[j][8] == "ERROR" for j in way))
+
+
+def test_trace_of_50000_spans(spark):
+    """Parents are found by sorting: a large trace costs its spans times their depth, not their square."""
+    n = 50000
+    x = spark.range(n).selectExpr(
+        "'t' AS trace_id", "CAST(id AS int) AS span_idx", "concat('s', id) AS span_id", "IF(id = 0, NULL, concat('s', (id - 1) DIV 2)) AS parent_id", "concat('v', id % 7) AS service", "'op' AS operation",
+        "'Unknown' AS call_direction", "CAST(IF(id = 1, 500, 200) AS short) AS http_status_code", "CAST(NULL AS string) AS log_level",
+    )
+    r = sn.path_errors(sp.with_paths(x)).agg(F.count("*"), F.count_if("rooted"), F.count_if("is_leaf"), F.max(F.size("call_chain")), F.count_if("path_bad")).first()
+    below, level = 0, [1]  # spans under the second one, itself included
+    while level:
+        below += len(level)
+        level = [c for p in level for c in (2 * p + 1, 2 * p + 2) if c < n]
+    assert tuple(r) == (n, n, n // 2, 16, below)
+
+
 @pytest.mark.parametrize(("us", "median", "p90"), [([6000, 1000, 2000], 2.0, None), ([1000, 2000, 3000, 6000], 2.5, None), ([1000 * i for i in range(1, 11)], 5.5, 9.0), ([1000 * i for i in range(1, 12)], 6.0, 10.0), ([1], None, None)])
 def test_time_stats(spark, us, median, p90):
     r = T.cumulated(spark.createDataFrame([("k", x) for x in us], "k string, duration_us long"), ["k"], "duration_us").groupBy("k").agg(*T.time_stats()).first()

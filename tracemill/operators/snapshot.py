@@ -48,12 +48,10 @@ def path_errors(spans: DataFrame) -> DataFrame:
     """spans (with trace_id, span_idx, parent_idx) with path_bad and path_err: whether any span from the root down to it had one.
 
     One array per trace; flags double along parent pointers, so the depth of a trace costs log2 rounds."""
-    x = st.flagged(spans).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("span_idx", "parent_idx", "_bad", "_err"))).alias("_s"))
-    x = x.withColumn("_ids", F.transform("_s", lambda s: s["span_idx"]))
-    start = lambda s: F.struct(F.when(s["parent_idx"].isNull(), 0).otherwise(F.array_position("_ids", s["parent_idx"])).cast("int").alias("p"), s["_bad"].alias("b"), s["_err"].alias("e"))
-    x = x.withColumn("_f", F.transform("_s", start)).withColumn("_f", F.expr("""aggregate(sequence(1, cast(ceil(log2(size(_f) + 1)) as int) + 1), _f, (acc, i) -> transform(acc, x -> if(x.p = 0, x,
-        named_struct('p', get(acc, x.p - 1).p, 'b', x.b or get(acc, x.p - 1).b, 'e', x.e or get(acc, x.p - 1).e))))"""))
-    flags = x.select("trace_id", F.inline(F.arrays_zip("_ids", "_f"))).select("trace_id", F.col("_ids").alias("span_idx"), F.col("_f.b").alias("path_bad"), F.col("_f.e").alias("path_err"))
+    x = sp.gathered(st.flagged(spans), "span_idx", "parent_idx", ["span_idx", "_bad", "_err"])
+    start = lambda s, i: F.struct(F.coalesce(F.get("_up", i), F.lit(0)).alias("p"), s["_bad"].alias("b"), s["_err"].alias("e"))
+    x = x.withColumn("_f", F.transform("_s", start)).withColumn("_f", sp.doubled("_f", "'b', x.b or y.b, 'e', x.e or y.e"))
+    flags = x.select("trace_id", F.inline(F.arrays_zip("_s", "_f"))).select("trace_id", "_s.span_idx", F.col("_f.b").alias("path_bad"), F.col("_f.e").alias("path_err"))
     return spans.join(flags, ["trace_id", "span_idx"])
 
 

@@ -17,6 +17,37 @@ def dedup_traces(traces: DataFrame, order: list[str]) -> tuple[DataFrame, DataFr
     return n.where("_n = 1").drop("_n"), n.where("_n > 1").select("trace_id").distinct()
 
 
+def gathered(spans: DataFrame, key: str, ref: str, keep: list[str]) -> DataFrame:
+    """One row per trace: _s (struct(keep) of its spans in order of span_idx), and as parallel arrays _up, where the span that `ref` names by `key`
+    stands (from 1; null where none is named, 0 where it is missing), and _leaf, whether no other span names it. Of equal keys the first counts.
+
+    Each span goes as a definition and as a reference to the rows of its key in its trace, so that finding parents is a sort and not a search
+    per span. All steps are partitioned by trace_id: one shuffle."""
+    of_trace, of_key = Window.partitionBy("trace_id"), Window.partitionBy("trace_id", "_key")
+    at, named = F.col("_at"), F.col(ref).isNotNull() & (F.col(ref) != F.col(key))
+    x = spans.withColumn("_at", F.row_number().over(of_trace.orderBy("span_idx"))).withColumn("_named", F.coalesce(named, F.col(ref).isNotNull()))
+    x = x.select("trace_id", "_at", F.inline(F.array(
+        F.struct(F.col(key).alias("_key"), F.struct(*keep).alias("_d"), F.lit(False).alias("_refers")),
+        F.struct(F.when(F.col("_named"), F.col(ref)).alias("_key"), F.lit(None).alias("_d"), F.col("_named").alias("_refers")),
+    )))
+    defined = F.col("_d").isNotNull()
+    x = x.withColumn("_first", F.when(F.col("_key").isNotNull(), F.min(F.when(defined, at)).over(of_key))).withColumn("_used", F.max("_refers").over(of_key))
+    leaf = ~(F.coalesce(at == F.col("_first"), F.lit(False)) & F.col("_used"))
+    by_at = lambda a, b: F.when(a["a"] < b["a"], -1).when(a["a"] > b["a"], 1).otherwise(0)  # noqa: E731  maps have no order
+    x = x.groupBy("trace_id").agg(
+        F.array_sort(F.collect_list(F.when(defined, F.struct(at.alias("a"), F.col("_d").alias("d"), leaf.alias("leaf")))), by_at).alias("_s"),
+        F.array_sort(F.collect_list(F.when(~defined, F.struct(at.alias("a"), F.when(F.col("_refers"), F.coalesce("_first", F.lit(0))).alias("up"))))).alias("_up"),
+    )
+    return x.select("trace_id", F.transform("_s", lambda s: s["d"]).alias("_s"), F.transform("_up", lambda r: r["up"]).alias("_up"), F.transform("_s", lambda s: s["leaf"]).alias("_leaf"))
+
+
+def doubled(arr: str, own: str) -> Column:
+    """An array of structs, each with p, where its parent stands (0 at an end), after paths have doubled along the parents until all have ended:
+    `own` gives a struct's other fields from those of itself, x, and of its parent, y."""
+    return F.expr(f"""aggregate(sequence(1, cast(ceil(log2(size({arr}) + 1)) as int) + 1), {arr}, (acc, i) -> if(exists(acc, x -> x.p > 0), transform(acc, x -> if(x.p = 0, x,
+        transform(array(get(acc, x.p - 1)), y -> named_struct('p', y.p, {own}))[0])), acc))""")
+
+
 def with_paths(spans: DataFrame) -> DataFrame:
     """spans with position (Root, Parent, MissingParent), parent_idx, is_leaf, rooted and call_chain (root first).
 
@@ -24,28 +55,16 @@ def with_paths(spans: DataFrame) -> DataFrame:
     trace costs log2 rounds and there is one shuffle. No reference or one to itself: Root. A trace without exactly one root
     has no rooted span. A cycle of parents never ends and leaves its spans unresolved (position Cycle)."""
     rest = [c for c in spans.columns if c != "trace_id"]
-    by_idx = lambda x, y: F.when(x["span_idx"] < y["span_idx"], -1).when(x["span_idx"] > y["span_idx"], 1).otherwise(0)  # noqa: E731  maps have no order
-    arr = F.array_sort(F.collect_list(F.struct("span_idx", *[c for c in rest if c != "span_idx"])), by_idx)
-    g = spans.groupBy("trace_id").agg(arr.alias("_s")).withColumn("_ids", F.transform("_s", lambda x: x["span_id"]))
-
-    def start(x: Column) -> Column:
-        root = x["parent_id"].isNull() | (x["parent_id"] == x["span_id"])
-        at = F.when(root, F.lit(0)).otherwise(F.array_position(F.col("_ids"), x["parent_id"]))
-        return F.struct(
-            at.cast("int").alias("p"), F.when(root, "Root").when(at == 0, "MissingParent").otherwise("Parent").alias("end"),
-            F.array(F.struct(x["service"].alias("service"), x["operation"].alias("operation"), x["call_direction"].alias("call_direction"))).alias("chain"),
-        )
-
-    g = g.withColumn("_a", F.transform("_s", start))
-    g = g.withColumn("_parents", F.transform("_a", lambda x: x["p"])).withColumn("_pos", F.transform("_a", lambda x: x["end"]))
-    g = g.withColumn(
-        "_a",
-        F.expr("""aggregate(sequence(1, cast(ceil(log2(size(_a) + 1)) as int) + 1), _a, (acc, i) -> transform(acc, x -> if(x.p = 0, x,
-            named_struct('p', get(acc, x.p - 1).p, 'end', get(acc, x.p - 1).end, 'chain', concat(get(acc, x.p - 1).chain, x.chain)))))"""),
-    )
+    g = gathered(spans, "span_id", "parent_id", rest)
+    g = g.withColumn("_pos", F.transform("_up", lambda u: F.when(u.isNull(), "Root").when(u == 0, "MissingParent").otherwise("Parent")))
+
+    def start(x: Column, i: Column) -> Column:
+        call = F.struct(x["service"].alias("service"), x["operation"].alias("operation"), x["call_direction"].alias("call_direction"))
+        return F.struct(F.coalesce(F.get("_up", i), F.lit(0)).alias("p"), F.get("_pos", i).alias("end"), F.array(call).alias("chain"))
+
+    g = g.withColumn("_a", F.transform("_s", start)).withColumn("_a", doubled("_a", "'end', y.end, 'chain', concat(y.chain, x.chain)"))
     g = g.withColumn("_roots", F.size(F.filter("_pos", lambda x: x == "Root")))
-    g = g.withColumn("_up", F.transform("_parents", lambda p: F.when(p > 0, F.get("_s", p - 1)["span_idx"])))
-    g = g.withColumn("_leaf", F.transform("_s", lambda x, i: ~F.array_contains("_parents", i + 1)))
+    g = g.withColumn("_up", F.transform("_up", lambda u: F.when(u > 0, F.get("_s", u - 1)["span_idx"])))
     g = g.select("trace_id", "_roots", F.explode(F.arrays_zip("_s", "_a", "_pos", "_up", "_leaf")).alias("_x"))
     a = F.col("_x._a")
     return g.select(
