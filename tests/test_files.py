@@ -37,14 +37,20 @@ def folder(tmp_path_factory):
 
 
 def test_commands(spark, folder, capsys):
-    cli.main(["trace_analysis", str(folder / "in0"), "-o", str(folder / "out0")])
+    cli.main(["trace_analysis", str(folder / "in0"), "-o", str(folder / "out0"), "-t", "-z", "60"])
     s = spark.read.parquet(str(folder / "out0/snapshot")).first()
     assert (s.num_traces, s.num_incomplete_traces, s.init_num_unrooted_cc, s.num_fixes, s.num_unrooted_cc_after_fixes, s.num_call_chains) == (6, 1, 1, 1, 0, 4)  # A, A as a leaf, A to B, A to C
     c = {r.chain_key: r for r in spark.read.parquet(str(folder / "out0/chain_stats")).collect()}
     whole = [r for k, r in c.items() if k.count("|") == 2]
     assert len(whole) == 1 and whole[0]["count"] == 6 and whole[0].repaired and whole[0].rooted
     text = (folder / "out0/statistics.csv").read_text()
-    assert "num_fixes:; 1" in text and "C; opC; 6; 6;" in text
+    assert "num_fixes:; 1" in text and "C; opC; 6; 6;" in text and "start:; 1970-01-12 14:46:40.000" in text  # 10^12 µs, an hour east
+    e = spark.read.parquet(str(folder / "out0/endpoint_summary")).collect()
+    assert [(r.num_traces, r.num_incomplete_traces, r.init_num_unrooted_cc, r.num_fixes, r.num_call_chains) for r in e] == [(6, 1, 1, 1, 4)]
+    e = {(r.endpoint, r.service, r["count"]) for r in spark.read.parquet(str(folder / "out0/endpoint_oper_stats")).collect()}
+    assert len({x[0] for x in e}) == 1 and ("C", 6) in {x[1:] for x in e}
+    texts = [r[0] for r in spark.read.text(str(folder / "out0/Traces"), wholetext=True).select("value").collect()]
+    assert sum("\n      C/opC {" in x for x in texts) == 5 and sum("\n  C/opC {" in x for x in texts) == 1  # the lost span's child has no path to the root
     (folder / "list.stitch").write_text("# days\nout0\n% gap\nout0 # second\n")
     cli.main(["stitch", str(folder / "list.stitch"), "-o", str(folder / "st")])
     y = {(r.x, r.y) for r in spark.read.parquet(str(folder / "st/operations")).where("service = 'C' AND metric = 'count'").collect()}

@@ -23,6 +23,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("-c", "--decimal-point", action="store_true")
     a.add_argument("-k", "--known-chains", help="folder of known chains of earlier runs, to which this run's are added")
     a.add_argument("-f", "--form", choices=["parquet", "json"], default="parquet")
+    a.add_argument("-z", "--timezone-minutes", type=int, default=0, help="offset from UTC of times in reports")
+    a.add_argument("-t", "--trace-texts", action="store_true", help="each trace as text too")
     s = sub.add_parser("stitch", help="series, report and anomalies of listed snapshots")
     s.add_argument("-d", "--drop-count", type=int, default=0)
     s.add_argument("-c", "--decimal-point", action="store_true")
@@ -79,7 +81,9 @@ def main(args: list[str] | None = None) -> None:
         spans = _written(spans, f"{a.output}/clean")
         tables = sn.analyse(spans, caching, known, lambda df, name: _written(df, f"{a.output}/{name}"))
         snapshots.write_snapshot(tables, a.output, a.form)
-        reports.statistics_csv(tables, f"{a.output}/statistics.csv", not a.decimal_point)
+        reports.statistics_csv(tables, f"{a.output}/statistics.csv", not a.decimal_point, a.timezone_minutes)
+        if a.trace_texts:
+            snapshots.write_trace_texts(spark.read.parquet(f"{a.output}/paths"), tables["traces"], f"{a.output}/Traces")
         if kept:
             jaeger.write_chains(spark.read.format(a.form).load(f"{a.output}/known_chains"), kept)
         reports.issues_report({"Spans": issues, "Traces that came again": again}, f"{a.output}/report.txt")

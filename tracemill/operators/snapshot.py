@@ -55,10 +55,10 @@ def path_errors(spans: DataFrame) -> DataFrame:
     return spans.join(flags, ["trace_id", "span_idx"])
 
 
-def chain_counters(keyed: DataFrame) -> DataFrame:
-    """chain_key, http_not_ok and error_logs: spans of a chain whose path held an error, as parts of all."""
+def chain_counters(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, http_not_ok and error_logs: spans of a chain whose path held an error, as parts of all."""
     part = lambda c, name: F.round(F.count_if(F.col(c)) / F.count("*"), 6).alias(name)
-    return path_errors(keyed).groupBy("chain_key").agg(part("path_bad", "frac_not_http_ok"), part("path_err", "frac_error_logs"))
+    return path_errors(keyed).groupBy(*keys).agg(part("path_bad", "frac_not_http_ok"), part("path_err", "frac_error_logs"))
 
 
 def counters(traces: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -72,6 +72,28 @@ def counters(traces: DataFrame, before: DataFrame, after: DataFrame) -> DataFram
     return out.withColumn("num_fixes", F.col("init_num_unrooted_cc") - F.col("num_unrooted_cc_after_fixes"))
 
 
+def endpoint_counters(traces: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row per endpoint, of what counters() has for the whole set; before and after carry endpoint."""
+    own = traces.groupBy("endpoint").agg(F.countDistinct("file_id").alias("num_files"), F.count("*").alias("num_traces"), F.count_if(F.col("num_missing") > 0).alias("num_incomplete_traces"))
+    own = own.withColumn("incomplete_percentage", F.round(100 * F.col("num_incomplete_traces") / F.col("num_traces"), 6))
+    chains = lambda k: k.groupBy("endpoint", "chain_key").agg(F.bool_and("rooted").alias("rooted")).groupBy("endpoint")
+    n, lost = F.count("*"), F.count_if(~F.col("rooted"))
+    out = T.same(own, chains(before).agg(lost.alias("init_num_unrooted_cc")), ["endpoint"])
+    out = T.same(out, chains(after).agg(n.alias("num_call_chains"), lost.alias("num_unrooted_cc_after_fixes")), ["endpoint"])
+    return out.withColumn("num_fixes", F.col("init_num_unrooted_cc") - F.col("num_unrooted_cc_after_fixes"))
+
+
+def endpoint_tables(traces: DataFrame, before: DataFrame, after: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a snapshot for each endpoint by itself, all endpoints in one pass: endpoint leads every key. traces: trace_records();
+    before and after: spans with keys, as found and as repaired."""
+    own = traces.select("trace_id", "endpoint")
+    before, after = (T.same(df, own, ["trace_id"]) for df in (before, after))
+    total, by = endpoint_counters(traces, before, after), ["endpoint"]
+    return {
+        "endpoint_summary": total, "endpoint_service_stats": service_report(after, total, by), "endpoint_oper_stats": oper_report(after, total, by), "endpoint_chain_stats": chain_report(after, total, by),
+    }
+
+
 def analyse(spans: DataFrame, caching: list[str] | None = None, known: DataFrame | None = None, stored: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
     """All tables of a snapshot. known: endpoint, call_chain, is_leaf of earlier runs; the result's known_chains adds this run's.
     stored(table, name) may write what is needed more than once and read it again, so that it is computed once."""
@@ -84,41 +106,47 @@ def analyse(spans: DataFrame, caching: list[str] | None = None, known: DataFrame
     return {
         "spans": after, "traces": traces, "snapshot": total, "basic": basic_series(*[t.withColumn("snapshot_id", F.lit(0)) for t in (traces, keyed, after)]).drop("x"), "known_chains": known, "service_stats": service_report(spans, total), "oper_stats": oper_report(spans, total),
         "chain_stats": chain_report(after, total), "uncorrected_chain_stats": chain_report(keyed.withColumn("fixed", F.lit(False)), total),
+        **endpoint_tables(traces, keyed, after),
     }
 
 
-def _of_all(df: DataFrame, total: DataFrame) -> DataFrame:
-    """df with _traces and _files of the snapshot's one row."""
+def _of_all(df: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """df with _traces and _files of the snapshot's one row, or of its row of the same `by`."""
+    if by:
+        return T.same(df, total.select(*by, F.col("num_traces").alias("_traces"), F.col("num_files").cast("int").alias("_files")), by)
     one = total.select(F.col("num_traces").alias("_traces"), F.col("num_files").cast("int").alias("_files"), F.lit(1).alias("_k"))
     return df.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
 
 
-def service_report(spans: DataFrame, total: DataFrame) -> DataFrame:
+def service_report(spans: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of calls of each service, and how many a trace."""
     per = lambda c: F.round(F.col(f"num_{c}") / F.col("_traces"), 6).alias(f"freq_{c}")
-    return _of_all(st.service_stats(spans), total).select("service", "num_traces", "num_received", "num_outbound", "num_unknown", per("received"), per("outbound"), per("unknown"))
+    return _of_all(st.service_stats(spans, by), total, by).select(*(by or []), "service", "num_traces", "num_received", "num_outbound", "num_unknown", per("received"), per("outbound"), per("unknown"))
 
 
-def _with_rates(df: DataFrame, own: DataFrame, total: DataFrame, keys: list[str]) -> DataFrame:
-    rate = T.rates(_of_all(df.select(*keys, "start_us"), total), keys, outliers="_files")
-    x = _of_all(T.same(own, rate, keys), total)
+def _with_rates(df: DataFrame, own: DataFrame, total: DataFrame, keys: list[str], by: list[str] | None) -> DataFrame:
+    rate = T.rates(_of_all(df.select(*keys, "start_us"), total, by), keys, outliers="_files")
+    x = _of_all(T.same(own, rate, keys), total, by)
     share = F.col("count") / F.col("_traces")
     return x.withColumns({"occurrence": F.round(share, 6), "expect_duration": F.round(share * F.col("avg_ms"), 6)}).drop("_traces", "_files")
 
 
-def oper_report(spans: DataFrame, total: DataFrame) -> DataFrame:
+def oper_report(spans: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Statistics of each service and operation, rates, how often a trace calls it and the time expected from that."""
-    return _with_rates(spans, st.oper_stats(spans), total, ["service", "operation"])
+    keys = [*(by or []), "service", "operation"]
+    return _with_rates(spans, st.oper_stats(spans, keys), total, keys, by)
 
 
-def chain_report(keyed: DataFrame, total: DataFrame) -> DataFrame:
+def chain_report(keyed: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Statistics of each chain, its ends, hash, loops and rates; errors are those anywhere along the chain."""
-    facts = keyed.groupBy("chain_key").agg(
+    own_endpoint = F.first(S.plain_call(F.get("call_chain", F.lit(0)))).alias("first_call" if by else "endpoint")
+    keys = [*(by or []), "chain_key"]
+    facts = keyed.groupBy(*keys).agg(
         F.first("inbound_key").alias("inbound_key"), F.first("loops").alias("loops"), F.first("caching_process").alias("caching_process"), F.bool_or("fixed").alias("repaired"),
-        F.first(S.plain_call(F.get("call_chain", F.lit(0)))).alias("endpoint"), F.first(S.plain_call(F.element_at("call_chain", -1))).alias("leaf"),
+        own_endpoint, F.first(S.plain_call(F.element_at("call_chain", -1))).alias("leaf"),
     )
-    own = st.chain_stats(keyed).join(facts, "chain_key").join(chain_counters(keyed), "chain_key").withColumn("cc_hash", S.string_hash(F.col("chain_key")))
-    out = _with_rates(keyed, own, total, ["chain_key"])
+    own = T.same(T.same(st.chain_stats(keyed, by), facts, keys), chain_counters(keyed, keys), keys).withColumn("cc_hash", S.string_hash(F.col("chain_key")))
+    out = _with_rates(keyed, own, total, keys, by)
     return out.withColumn("expect_contribution", F.when(F.col("is_leaf"), F.col("expect_duration")).otherwise(F.lit(0.0)))
 
 

@@ -27,10 +27,10 @@ def oper_stats(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return T.same(own, spans.groupBy(*keys).agg(F.countDistinct("trace_id").alias("num_traces")), keys)
 
 
-def service_stats(spans: DataFrame) -> DataFrame:
+def service_stats(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
     kind = F.col("span_kind")
     received, outbound = F.count_if(kind == "server"), F.count_if(kind == "client")
-    return spans.groupBy("service").agg(
+    return spans.groupBy(*(by or []), "service").agg(
         F.countDistinct("trace_id").alias("num_traces"), received.alias("num_received"), outbound.alias("num_outbound"), (F.count("*") - received - outbound).alias("num_unknown"),
     )
 
@@ -44,10 +44,11 @@ def with_keys(paths: DataFrame, caching: list[str] | None = None) -> DataFrame:
     })
 
 
-def chain_stats(keyed: DataFrame) -> DataFrame:
-    """One row per chain. Its rooted is that of all its spans together, so it doesn't depend on their order."""
-    h = T.cumulated(keyed, ["chain_key"], "duration_us", ["depth", "is_leaf", "rooted"])
-    return h.groupBy("chain_key").agg(F.first("depth").alias("depth"), F.first("is_leaf").alias("is_leaf"), F.bool_and("rooted").alias("rooted"), F.sum("_c").alias("count"), *T.time_stats())
+def chain_stats(keyed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row per chain (of each `by`). Its rooted is that of all its spans together, so it doesn't depend on their order."""
+    keys = [*(by or []), "chain_key"]
+    h = T.cumulated(keyed, keys, "duration_us", ["depth", "is_leaf", "rooted"])
+    return h.groupBy(*keys).agg(F.first("depth").alias("depth"), F.first("is_leaf").alias("is_leaf"), F.bool_and("rooted").alias("rooted"), F.sum("_c").alias("count"), *T.time_stats())
 
 
 def root_calls(traces: DataFrame) -> DataFrame:

@@ -109,6 +109,25 @@ def chain_repair(s: SparkSession, d: str) -> DataFrame:
 query("endpoint_stats", f"WITH {SPANS}, {TRACES} SELECT endpoint, count(*) num_traces, count(*) FILTER (num_missing > 0) num_incomplete, sum(num_spans)::BIGINT num_spans FROM records GROUP BY GROUPING SETS ((endpoint), ())")(
     lambda s, d: sp.trace_records(paths(s, d)).rollup("endpoint").agg(F.count("*").alias("num_traces"), F.count_if(F.col("num_missing") > 0).alias("num_incomplete"), F.sum("num_spans").alias("num_spans"))
 )
+ENDPOINTS = f"WITH {SPANS}, {TRACES}, e AS (SELECT s.*, r.endpoint FROM spans s JOIN records r USING (trace_id)), n AS (SELECT endpoint, count(*) nt FROM records GROUP BY endpoint)"
+
+
+def _by_endpoint(name: str):
+    """Of each endpoint's spans as found, without rates."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        k = keyed(s, d)
+        return sn.endpoint_tables(sp.trace_records(k), k, k.withColumn("fixed", F.lit(False)))[name].drop("avg_rate", "median_rate")
+
+    return run
+
+
+query("endpoint_oper_stats", f"{ENDPOINTS}, o AS (SELECT endpoint, service, operation, count(*) count, count(DISTINCT trace_id) num_traces, {_stats_sql('')}, {ERRORS} FROM e GROUP BY endpoint, service, operation) SELECT o.*, round(count / nt, 6) occurrence, round(count / nt * avg_ms, 6) expect_duration FROM o JOIN n USING (endpoint)")(_by_endpoint("endpoint_oper_stats"))
+query("endpoint_service_stats", f"{ENDPOINTS}, o AS (SELECT endpoint, service, count(DISTINCT trace_id) num_traces, count(*) FILTER (span_kind = 'server') num_received, count(*) FILTER (span_kind = 'client') num_outbound, count(*) FILTER (span_kind IS NULL OR span_kind NOT IN ('server', 'client')) num_unknown FROM e GROUP BY endpoint, service) SELECT o.*, round(num_received / nt, 6) freq_received, round(num_outbound / nt, 6) freq_outbound, round(num_unknown / nt, 6) freq_unknown FROM o JOIN n USING (endpoint)")(_by_endpoint("endpoint_service_stats"))
+query("endpoint_summary", f"WITH RECURSIVE {PATHS}, {TRACES}, c AS (SELECT endpoint, chain_key, bool_and(rooted) rooted FROM chains JOIN records USING (trace_id) GROUP BY ALL), k AS (SELECT endpoint, count(*) num_call_chains, count(*) FILTER (NOT rooted) lost FROM c GROUP BY endpoint), n AS (SELECT endpoint, count(DISTINCT file_id) num_files, count(*) num_traces, count(*) FILTER (num_missing > 0) num_incomplete_traces, round(100 * count(*) FILTER (num_missing > 0) / count(*), 6) incomplete_percentage FROM records GROUP BY endpoint) SELECT n.*, lost init_num_unrooted_cc, num_call_chains, lost num_unrooted_cc_after_fixes, 0::BIGINT num_fixes FROM n JOIN k USING (endpoint)")(_by_endpoint("endpoint_summary"))
+query("endpoint_chain_stats", f"WITH RECURSIVE {PATHS}, {TRACES}, n AS (SELECT endpoint, count(*) nt FROM records GROUP BY endpoint), o AS (SELECT endpoint, chain_key, any_value(is_leaf) is_leaf, bool_and(c.rooted) rooted, count(*) count, {_stats_sql('').replace('duration_us', 'c.duration_us')}, round(count(*) FILTER (bad) / count(*), 6) frac_not_http_ok, round(count(*) FILTER (err) / count(*), 6) frac_error_logs FROM chains c JOIN records USING (trace_id) GROUP BY endpoint, chain_key) SELECT o.*, round(count / nt, 6) occurrence FROM o JOIN n USING (endpoint)")(
+    lambda s, d: _by_endpoint("endpoint_chain_stats")(s, d).drop("depth", "inbound_key", "loops", "caching_process", "fixed", "repaired", "first_call", "leaf", "cc_hash", "expect_duration", "expect_contribution")
+)
 query("unify_operation", f"WITH {SPANS} SELECT operation_raw, operation, count(*) count FROM spans GROUP BY operation_raw, operation")(lambda s, d: spans(s, d).groupBy("operation_raw").agg(F.first("operation").alias("operation"), F.count("*").alias("count")))
 query("endpoint_key", f"WITH {SPANS} SELECT DISTINCT translate(service || operation_raw, '/\\;:', '____') AS endpoint FROM spans")(lambda s, d: spans(s, d).select(S.endpoint_key(F.concat("service", "operation_raw")).alias("endpoint")).distinct())
 query("log_truncate", "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN substr(text, 1, 100) || '...TRUNCATED' ELSE text END msg FROM documents")(lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.truncate_message(F.col("text")).alias("msg")))

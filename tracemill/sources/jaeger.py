@@ -38,6 +38,12 @@ def _tag(tags: Column, key: str) -> Column:
     return F.element_at(F.transform(F.filter(tags, lambda t: t["key"] == key), lambda t: t["value"]), -1)
 
 
+def _tag_map(tags: Column) -> Column:
+    """Tags as a map, the last of each key."""
+    keys = F.array_distinct(F.filter(F.transform(tags, lambda t: t["key"]), lambda k: k.isNotNull()))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: _tag(tags, k)))
+
+
 def to_spans(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clean spans, and issues (trace_id, message): spans of several references, and status codes that aren't numbers."""
     s = traces.select("file_id", "trace_pos", "trace_id", "processes", F.posexplode("spans").alias("span_idx", "s"))
@@ -46,14 +52,14 @@ def to_spans(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = last(F.col("s.tags"), "span.kind")
     raw = F.col("s.operationName")
     rest = F.filter("s.tags", lambda t: ~t["key"].isin("http.status_code", "span.kind"))
-    keys = F.array_distinct(F.transform(rest, lambda t: t["key"]))
+    process = F.element_at("processes", F.col("s.processID"))
     logs = F.transform("s.logs", lambda x: F.struct(x["timestamp"].alias("timestamp"), last(x["fields"], "level").alias("level"), S.truncate_message(last(x["fields"], "message")).alias("msg")))
     n_refs = F.coalesce(F.size("s.references"), F.lit(0))
     spans = s.select(
         "file_id", "trace_pos", "trace_id", "span_idx", F.col("s.spanID").alias("span_id"), F.when(n_refs > 0, F.get("s.references", F.lit(0))["spanID"]).alias("parent_id"),
-        F.coalesce(F.element_at("processes", F.col("s.processID"))["serviceName"], F.lit("-")).alias("service"), S.unify_operation(raw).alias("operation"), raw.alias("full_operation"),
+        F.coalesce(process["serviceName"], F.lit("-")).alias("service"), S.unify_operation(raw).alias("operation"), raw.alias("full_operation"),
         F.col("s.startTime").alias("start_us"), F.col("s.duration").alias("duration_us"), kind.alias("span_kind"), S.call_direction(kind).alias("call_direction"), code.try_cast("short").alias("http_status_code"),
-        F.map_from_arrays(keys, F.transform(keys, lambda k: _tag(rest, k))).alias("attributes"), logs.alias("logs"),
+        _tag_map(rest).alias("attributes"), _tag_map(process["tags"]).alias("process_tags"), logs.alias("logs"),
         F.when(F.exists(logs, lambda x: x["level"] == "ERROR"), "ERROR").alias("log_level"), n_refs.alias("_refs"), (code.isNotNull() & code.try_cast("short").isNull()).alias("_bad"),
     )
     issues = spans.where("_refs > 1 OR _bad").select("trace_id", F.concat(F.lit("span "), "span_id", F.when(F.col("_refs") > 1, ": several references").otherwise(": bad http.status_code")).alias("message"))

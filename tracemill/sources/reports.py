@@ -57,11 +57,11 @@ def table(df: DataFrame, order: list[str], comma: bool = True) -> list[str]:
     return ["; ".join(df.columns), *rows(df.orderBy(*order), comma)]
 
 
-def statistics_csv(tables: dict[str, DataFrame], path: str, comma: bool = True) -> None:
-    """Four parts: the whole set, services, operations, chains. Columns are named by what they hold."""
+def statistics_csv(tables: dict[str, DataFrame], path: str, comma: bool = True, offset_minutes: int = 0) -> None:
+    """Four parts: the whole set, services, operations, chains. Columns are named by what they hold. offset_minutes: from UTC, of start and end as text."""
     whole = ("num_spans", "duration_us", "time_to_respond_us")
     three = [f(c).alias(f"{n}({c})") for c in whole for n, f in (("MIN", F.min), ("AVG", lambda x: F.floor(F.sum(x) / F.count(x))), ("MAX", F.max))]
-    t = tables["traces"].agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), *three).first().asDict()
+    t = tables["traces"].agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), *[S.datetime_text(f(c), offset_minutes, True).alias(n) for n, c, f in (("start", "start_us", F.min), ("end", "end_us", F.max))], *three).first().asDict()
     lines = [f"{k}:; {_cell(v, comma)}" for k, v in {**tables["snapshot"].first().asDict(), **t}.items()]
     roots = tables["traces"].groupBy("root_call").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "root_call")
     lines += [f"root_call:; {r}" for r in rows(roots, comma)]

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions import timestats as T
 from ..operators import snapshot as sn
 from ..operators import stitch as R
 
-TABLES = ("traces", "snapshot", "basic", "known_chains", "service_stats", "oper_stats", "chain_stats", "uncorrected_chain_stats")
+TABLES = ("traces", "snapshot", "basic", "known_chains", "service_stats", "oper_stats", "chain_stats", "uncorrected_chain_stats", "endpoint_summary", "endpoint_service_stats", "endpoint_oper_stats", "endpoint_chain_stats")
 #: Labels of metrics in older files.
 LEGACY_LABELS = {
     "rate (avg)": "rate (req/sec)", "min_millis": "minimal duration millis", "min_duration_millis": "minimal duration millis", "max_millis": "maximal duration millis",
@@ -120,3 +121,21 @@ def write_traces(traces: DataFrame, path: str, ids: str = "") -> None:
     data = F.array(F.struct(F.col("trace_id").alias("traceID"), "spans", "processes"))
     text = F.to_json(F.struct(data.alias("data"), F.lit(0).alias("total"), F.lit(0).alias("limit"), F.lit(0).alias("offset")), {"pretty": "true"})
     x.select("trace_id", text.alias("value")).write.mode("overwrite").partitionBy("trace_id").text(path)
+
+
+def trace_texts(keyed: DataFrame, traces: DataFrame) -> DataFrame:
+    """trace_id, value: a trace for reading, its record on top and a line per span, indented by its depth, with what calls it and what it carries.
+
+    keyed: spans with paths; traces: trace_records(). One row per trace; lines are ordered by span_idx."""
+    known = lambda names: [c for c in names if c in keyed.columns]
+    own = known(["span_id", "parent_id", "position", "call_direction", "http_status_code", "start_us", "duration_us", "log_level", "attributes", "process_tags", "logs"])
+    value = F.to_json(F.struct(*own))
+    line = F.concat(F.repeat(F.lit("  "), F.size("call_chain")), S.plain_call(F.struct("service", "operation")), F.lit(" "), value)
+    lines = keyed.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("span_idx", line.alias("line")))).alias("_l"))
+    head = traces.select("trace_id", F.to_json(F.struct(*traces.columns)).alias("_h"))
+    return T.same(lines, head, ["trace_id"]).select("trace_id", F.concat_ws("\n", "_h", F.transform("_l", lambda x: x["line"])).alias("value"))
+
+
+def write_trace_texts(keyed: DataFrame, traces: DataFrame, path: str) -> None:
+    """trace_texts() in a folder per trace."""
+    trace_texts(keyed, traces).write.mode("overwrite").partitionBy("trace_id").text(path, lineSep="\n")
