@@ -9,8 +9,9 @@ indexed as pairs within a class, of which each loss takes one token; the prefix
 too. Only where a document has too few frequent tokens for that do tokens outside the band follow, singly. Since every prefix is cut by the
 same order, linked documents share a signature. The number of classes grows with the size (classes(), a step for each factor of
 four), so a long text has signatures in proportion to its tokens; documents near a step index both sides of it. Below FIRST tokens, where one or
-two losses leave no room for classes, the plain prefix is indexed. Frequencies are exact counts of all tokens of the band; the frequent
-ones are broadcast under a size bound (MOST_FREQUENT), which raises what counts as frequent where more exist.
+two losses leave no room for classes, the plain prefix is indexed. Frequencies are counts over all documents of all tokens of the band, where
+equal sets that one task meets count once: the order they give may differ between runs, the links don't, since one run uses one order. The
+frequent ones are broadcast under a size bound (MOST_FREQUENT), which raises what counts as frequent where more exist.
 
 Documents that share a signature are candidates, unless a bound on their sets' difference (parities of hash classes, at least PARITY,
 as many as tokens in longer texts) rules them out, which it does only where they can't link. First each is compared with the first
