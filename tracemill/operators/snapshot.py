@@ -55,7 +55,7 @@ def path_errors(spans: DataFrame) -> DataFrame:
     return spans.join(flags, ["trace_id", "span_idx"])
 
 
-def chain_counters(keyed: DataFrame, keys: list[str]) -> DataFrame:
+def chain_counters(keyed: DataFrame, keys: tuple[str, ...] | list[str] = ("chain_key",)) -> DataFrame:
     """keys, http_not_ok and error_logs: spans of a chain whose path held an error, as parts of all."""
     part = lambda c, name: F.round(F.count_if(F.col(c)) / F.count("*"), 6).alias(name)
     return path_errors(keyed).groupBy(*keys).agg(part("path_bad", "frac_not_http_ok"), part("path_err", "frac_error_logs"))
