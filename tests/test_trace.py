@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import duckdb
 import pytest
@@ -183,3 +184,33 @@ def test_chain_file_round_trip(spark, tmp_path):
     (tmp_path / "c.cchain").write_text("# known\n\ngw/GET:/x | a/op [Inbound] & &  *LEAF*\n")
     r = jaeger.read_chains(spark, str(tmp_path / "c.cchain")).first()
     assert [(c.service, c.operation, c.call_direction) for c in r.chain] == [("gw", "GET:/x", "Unknown"), ("a", "op", "Inbound")] and r.is_leaf and r.caching == ""
+
+
+def test_long_traces_find_parents_as_short_ones_do(spark, monkeypatch):
+    """Parents and leaves of random traces, with null, repeated and lost ids, are the same by sorting as by search; traces' columns and errors are those of the records and of path_errors."""
+    rng = random.Random(9)
+    spec = [(f"t{t}", i, rng.choice([None, f"s{i}", f"s{i}", f"s{rng.randint(0, n)}"]), rng.choice([None, "gone", *[f"s{rng.randint(0, n)}"] * 6]), f"v{i}", "op", "Unknown", rng.choice([200, 500, None]), rng.choice([None, "ERROR"]), 1, 10 * i, 5 + i)
+            for t in range(50) for n in [rng.randint(1, 12)] for i in range(n)]
+    x = spark.createDataFrame(spec, "trace_id string, span_idx int, span_id string, parent_id string, service string, operation string, call_direction string, http_status_code short, log_level string, file_id int, start_us long, duration_us long")
+    found = []
+    for most in (64, 0):
+        monkeypatch.setattr(sp, "SEARCHED", most)
+        found.append(sorted(map(str, sp.with_paths(x, of_trace=True, errors=True).collect())))
+    assert found[0] == found[1]
+    p = sp.with_paths(x, of_trace=True, errors=True)
+    own = ["trace_id", "root_call", "endpoint", "num_roots", "num_missing"]
+    assert sorted(map(str, sp.records(x).select(*own).collect())) == sorted(map(str, p.select(*own).distinct().collect()))
+    columns = sp.trace_records(p).columns
+    assert sorted(map(str, sp.records(x).select(*columns).collect())) == sorted(map(str, sp.trace_records(p).select(*columns).collect()))
+    flags = p.where("position <> 'Cycle'").select("trace_id", "span_idx", "path_bad", "path_err")
+    assert flags.count() == flags.intersect(sn.path_errors(sp.with_paths(x)).select(flags.columns)).count()
+
+
+ONCE = "graph_service endpoint_oper_stats endpoint_chain_stats endpoint_service_stats inbound_prefix chain_fixes chain_repair graph_reachable graph_positions endpoint_summary known_chains_merged chain_parse_roundtrip chain_list_all chain_looped chain_errors snapshot_summary chain_type_counts chain_path_errors"
+
+
+@pytest.mark.parametrize("name", ONCE.split())
+def test_paths_are_made_once_of_what_is_used(spark, name):
+    """Line items are read at most once by a plan (none where spans or chains were stored), and what a query doesn't use isn't gathered."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"FileScan parquet \[[^\]]*l_orderkey[^\n]*", plan))) <= 1 and "failed part " not in plan

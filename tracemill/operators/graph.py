@@ -34,7 +34,7 @@ def paths(keyed: DataFrame) -> DataFrame:
 
 def chain_table(keyed: DataFrame, statistics: bool = True) -> DataFrame:
     """chain_key, call_chain, steps and count of each chain, with statistics rate, avg_ms and percentiles too."""
-    own = keyed.groupBy("chain_key").agg(F.first("call_chain").alias("call_chain"), F.count("*").alias("count"))
+    own = keyed.groupBy("chain_key").agg(F.first("call_chain").alias("call_chain"), st.rows(keyed).alias("count"))
     own = own.withColumn("steps", F.transform("call_chain", S.plain_call))
     if not statistics:
         return own
@@ -95,7 +95,7 @@ def reachable(keyed: DataFrame, service: str) -> DataFrame:
     """Chains that go on from the last occurrence of a call of `service`: prefix up to it, and how often each."""
     pattern = rf"^.*\Q{service}\E/"
     prefix = F.regexp_extract("chain_key", pattern, 0)
-    return keyed.where(prefix != "").groupBy(prefix.alias("prefix")).agg(F.count("*").alias("count"))
+    return keyed.where(prefix != "").groupBy(prefix.alias("prefix")).agg(st.rows(keyed).alias("count"))
 
 
 def process_nodes(keyed: DataFrame) -> DataFrame:

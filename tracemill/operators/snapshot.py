@@ -27,7 +27,7 @@ LABELS = {
 }
 
 
-def chain_fixes(keyed: DataFrame, traces: DataFrame, known: DataFrame) -> DataFrame:
+def chain_fixes(keyed: DataFrame, traces: DataFrame | None, known: DataFrame) -> DataFrame:
     """chain_key, endpoint, matches, new_key, new_chain, new_leaf of the broken chains that a known chain of their most frequent root completes."""
     roots = st.expected_roots(keyed, traces).withColumn("endpoint", S.endpoint_key(F.col("expected_root")))
     broken = keyed.where("NOT rooted").select("chain_key", "call_chain", "caching_process", "is_leaf").distinct()
@@ -48,7 +48,7 @@ def path_errors(spans: DataFrame) -> DataFrame:
     """spans (with trace_id, span_idx, parent_idx) with path_bad and path_err: whether any span from the root down to it had one.
 
     One array per trace; flags double along parent pointers, so the depth of a trace costs log2 rounds."""
-    x = sp.gathered(st.flagged(spans), "span_idx", "parent_idx", ["span_idx", "_bad", "_err"])
+    x = sp.gathered(sp.flagged(spans), "span_idx", "parent_idx", ["span_idx", "_bad", "_err"])
     start = lambda s, i: F.struct(F.coalesce(F.get("_up", i), F.lit(0)).alias("p"), s["_bad"].alias("b"), s["_err"].alias("e"))
     x = x.withColumn("_f", F.transform("_s", start)).withColumn("_f", sp.doubled("_f", "'b', x.b or y.b, 'e', x.e or y.e"))
     flags = x.select("trace_id", F.inline(F.arrays_zip("_s", "_f"))).select("trace_id", "_s.span_idx", F.col("_f.b").alias("path_bad"), F.col("_f.e").alias("path_err"))
@@ -58,7 +58,9 @@ def path_errors(spans: DataFrame) -> DataFrame:
 def chain_counters(keyed: DataFrame, keys: tuple[str, ...] | list[str] = ("chain_key",)) -> DataFrame:
     """keys, http_not_ok and error_logs: spans of a chain whose path held an error, as parts of all."""
     part = lambda c, name: F.round(F.count_if(F.col(c)) / F.count("*"), 6).alias(name)
-    return path_errors(keyed).groupBy(*keys).agg(part("path_bad", "frac_not_http_ok"), part("path_err", "frac_error_logs"))
+    if "path_bad" not in keyed.columns:
+        keyed = path_errors(keyed)
+    return keyed.groupBy(*keys).agg(part("path_bad", "frac_not_http_ok"), part("path_err", "frac_error_logs"))
 
 
 def counters(traces: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -124,29 +126,35 @@ def service_report(spans: DataFrame, total: DataFrame, by: list[str] | None = No
     return _of_all(st.service_stats(spans, by), total, by).select(*(by or []), "service", "num_traces", "num_received", "num_outbound", "num_unknown", per("received"), per("outbound"), per("unknown"))
 
 
-def _with_rates(df: DataFrame, own: DataFrame, total: DataFrame, keys: list[str], by: list[str] | None) -> DataFrame:
-    rate = T.rates(_of_all(df.select(*keys, "start_us"), total, by), keys, outliers="_files")
-    x = _of_all(T.same(own, rate, keys), total, by)
+def _with_rates(df: DataFrame, own: DataFrame, total: DataFrame, keys: list[str], by: list[str] | None, rates: bool) -> DataFrame:
+    if rates:
+        own = T.same(own, T.rates(_of_all(df.select(*keys, "start_us"), total, by), keys, outliers="_files"), keys)
+    x = _of_all(own, total, by)
     share = F.col("count") / F.col("_traces")
     return x.withColumns({"occurrence": F.round(share, 6), "expect_duration": F.round(share * F.col("avg_ms"), 6)}).drop("_traces", "_files")
 
 
-def oper_report(spans: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Statistics of each service and operation, rates, how often a trace calls it and the time expected from that."""
+def oper_report(spans: DataFrame, total: DataFrame, by: list[str] | None = None, rates: bool = True) -> DataFrame:
+    """Statistics of each service and operation, rates unless they aren't asked for, how often a trace calls it and the time expected from that."""
     keys = [*(by or []), "service", "operation"]
-    return _with_rates(spans, st.oper_stats(spans, keys), total, keys, by)
+    return _with_rates(spans, st.oper_stats(spans, keys), total, keys, by, rates)
 
 
-def chain_report(keyed: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Statistics of each chain, its ends, hash, loops and rates; errors are those anywhere along the chain."""
+def chain_report(keyed: DataFrame, total: DataFrame, by: list[str] | None = None, rates: bool = True, facts: bool = True) -> DataFrame:
+    """Statistics of each chain; its ends, hash and loops (facts) and rates unless they aren't asked for; errors are those anywhere along the chain."""
     own_endpoint = F.first(S.plain_call(F.get("call_chain", F.lit(0)))).alias("first_call" if by else "endpoint")
     keys = [*(by or []), "chain_key"]
-    facts = keyed.groupBy(*keys).agg(
+    of_chain = keyed.groupBy(*keys).agg(
         F.first("inbound_key").alias("inbound_key"), F.first("loops").alias("loops"), F.first("caching_process").alias("caching_process"), F.bool_or("fixed").alias("repaired"),
         own_endpoint, F.first(S.plain_call(F.element_at("call_chain", -1))).alias("leaf"),
     )
-    own = T.same(T.same(st.chain_stats(keyed, by), facts, keys), chain_counters(keyed, keys), keys).withColumn("cc_hash", S.string_hash(F.col("chain_key")))
-    out = _with_rates(keyed, own, total, keys, by)
+    own = st.chain_stats(keyed, by)
+    if "path_bad" not in keyed.columns:
+        own = T.same(own, chain_counters(keyed, keys), keys)
+    if facts:
+        own = T.same(own, of_chain, keys)
+    own = own.withColumn("cc_hash", S.string_hash(F.col("chain_key")))
+    out = _with_rates(keyed, own, total, keys, by, rates)
     return out.withColumn("expect_contribution", F.when(F.col("is_leaf"), F.col("expect_duration")).otherwise(F.lit(0.0)))
 
 

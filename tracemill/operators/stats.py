@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import timestats as T
+from .spans import flagged
 
 
-def flagged(spans: DataFrame) -> DataFrame:
-    """spans with _bad and _err: whether its HTTP status isn't 200, and whether it logged an error."""
-    return spans.withColumns({"_bad": F.coalesce(S.http_not_ok(F.col("http_status_code")), F.lit(False)), "_err": F.coalesce(F.col("log_level") == "ERROR", F.lit(False))})
+def _share(c: str) -> Column:
+    """The part of rows that cumulated() made whose flag c is set."""
+    return F.round(F.coalesce(F.sum(F.when(F.col(c), F.col("_c"))), F.lit(0)) / F.sum("_c"), 6)
 
 
 def measures() -> list[Column]:
     """count, order statistics and error fractions, of flagged spans that cumulated() made."""
-    share = lambda c: F.round(F.coalesce(F.sum(F.when(F.col(c), F.col("_c"))), F.lit(0)) / F.sum("_c"), 6)
-    return [F.sum("_c").alias("count"), *T.time_stats(), share("_bad").alias("frac_not_http_ok"), share("_err").alias("frac_error_logs")]
+    return [F.sum("_c").alias("count"), *T.time_stats(), _share("_bad").alias("frac_not_http_ok"), _share("_err").alias("frac_error_logs")]
 
 
 def oper_stats(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -30,8 +30,10 @@ def oper_stats(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def service_stats(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
     kind = F.col("span_kind")
     received, outbound = F.count_if(kind == "server"), F.count_if(kind == "client")
-    return spans.groupBy(*(by or []), "service").agg(
-        F.countDistinct("trace_id").alias("num_traces"), received.alias("num_received"), outbound.alias("num_outbound"), (F.count("*") - received - outbound).alias("num_unknown"),
+    # by trace first: where spans lie by trace, that needs no shuffle of theirs
+    own = spans.groupBy(*(by or []), "service", "trace_id").agg(received.alias("_in"), outbound.alias("_out"), F.count("*").alias("_all"))
+    return own.groupBy(*(by or []), "service").agg(
+        F.count("trace_id").alias("num_traces"), F.sum("_in").alias("num_received"), F.sum("_out").alias("num_outbound"), F.sum(F.col("_all") - F.col("_in") - F.col("_out")).alias("num_unknown"),
     )
 
 
@@ -44,11 +46,32 @@ def with_keys(paths: DataFrame, caching: list[str] | None = None) -> DataFrame:
     })
 
 
+def counted(paths: DataFrame, *by: str, first: bool = False, **sums: Column) -> DataFrame:
+    """One row per call_chain, is_leaf, rooted and `by` of paths (with_paths): count, the sums, and with `first` the least trace_id and span_idx (seen).
+    with_keys() then makes its texts per chain and not per span; chains of equal key are still to be added up."""
+    own = [F.count("*").alias("count"), *[F.sum(v).alias(k) for k, v in sums.items()], *([F.min(F.struct("trace_id", "span_idx")).alias("seen")] if first else [])]
+    return paths.groupBy("call_chain", "is_leaf", "rooted", *by).agg(*own)
+
+
+def rows(df: DataFrame) -> Column:
+    """How many spans rows stand for: their count, where counted() made them."""
+    return F.sum("count") if "count" in df.columns else F.count("*")
+
+
+def _of_traces(keyed: DataFrame, traces: DataFrame | None, *columns: str) -> DataFrame:
+    """keyed with columns of its traces' records; without traces it has them (with_paths, of_trace)."""
+    return keyed if traces is None else keyed.drop(*columns).join(traces.select("trace_id", *columns), "trace_id")
+
+
 def chain_stats(keyed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row per chain (of each `by`). Its rooted is that of all its spans together, so it doesn't depend on their order."""
+    """One row per chain (of each `by`). Its rooted is that of all its spans together, so it doesn't depend on their order. Where spans have path_bad and
+    path_err, with the error fractions of operators.snapshot.chain_counters()."""
     keys = [*(by or []), "chain_key"]
-    h = T.cumulated(keyed, keys, "duration_us", ["depth", "is_leaf", "rooted"])
-    return h.groupBy(*keys).agg(F.first("depth").alias("depth"), F.first("is_leaf").alias("is_leaf"), F.bool_and("rooted").alias("rooted"), F.sum("_c").alias("count"), *T.time_stats())
+    errors = {"path_bad": "frac_not_http_ok", "path_err": "frac_error_logs"} if "path_bad" in keyed.columns else {}
+    h = T.cumulated(keyed, keys, "duration_us", ["depth", "is_leaf", "rooted", *errors])
+    return h.groupBy(*keys).agg(
+        F.first("depth").alias("depth"), F.first("is_leaf").alias("is_leaf"), F.bool_and("rooted").alias("rooted"), F.sum("_c").alias("count"), *T.time_stats(), *[_share(c).alias(n) for c, n in errors.items()],
+    )
 
 
 def root_calls(traces: DataFrame) -> DataFrame:
@@ -100,17 +123,17 @@ def snapshot_summary(traces: DataFrame) -> DataFrame:
     return traces.agg(F.count("*").alias("num_traces"), F.countDistinct("file_id").alias("num_files"), F.countDistinct("endpoint").alias("num_endpoints"), F.count_if(F.col("num_missing") > 0).alias("num_incomplete"), *three)
 
 
-def expected_roots(keyed: DataFrame, traces: DataFrame) -> DataFrame:
+def expected_roots(keyed: DataFrame, traces: DataFrame | None = None) -> DataFrame:
     """For each chain that isn't rooted: the most frequent root call of its traces (ties: the one seen first)."""
-    own = keyed.where("NOT rooted").join(traces.select("trace_id", "root_call"), "trace_id")
-    n = own.groupBy("chain_key", "root_call").agg(F.count("*").alias("n"), F.min(F.struct("trace_id", "span_idx")).alias("seen"))
+    own = _of_traces(keyed.where("NOT rooted"), traces, "root_call")
+    n = own.groupBy("chain_key", "root_call").agg(rows(own).alias("n"), F.min("seen" if "seen" in own.columns else F.struct("trace_id", "span_idx")).alias("seen"))
     return n.groupBy("chain_key").agg(F.min(F.struct((-F.col("n")).alias("n"), "seen", "root_call"))["root_call"].alias("expected_root"))
 
 
-def known_chains(keyed: DataFrame, traces: DataFrame) -> DataFrame:
+def known_chains(keyed: DataFrame, traces: DataFrame | None = None) -> DataFrame:
     """endpoint, call_chain, is_leaf of the rooted chains of complete traces."""
-    complete = traces.where("num_missing = 0").select("trace_id", "endpoint")
-    return keyed.where("rooted").join(complete, "trace_id").select("endpoint", "call_chain", "is_leaf").distinct()
+    own = _of_traces(keyed.where("rooted"), traces, "num_missing", "endpoint")
+    return own.where("num_missing = 0").select("endpoint", "call_chain", "is_leaf").distinct()
 
 
 def merge_known(known: DataFrame, new: DataFrame) -> DataFrame:
