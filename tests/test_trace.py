@@ -214,3 +214,23 @@ def test_paths_are_made_once_of_what_is_used(spark, name):
     """Line items are read at most once by a plan (none where spans or chains were stored), and what a query doesn't use isn't gathered."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(set(re.findall(r"FileScan parquet \[[^\]]*l_orderkey[^\n]*", plan))) <= 1 and "failed part " not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_of_chains_do_not_gather_spans_by_snapshot(spark):
+    """Numbers of a snapshot come beside its rows: joined by snapshot, all spans of one lay in a task."""
+    rows = [(f"t{i}", i % 3, i % 2, "c" if i % 5 else None, 1000 + i % 7, 1_000_000 * i, 200, None) for i in range(120)]
+    x = spark.createDataFrame(rows, "trace_id string, file_id long, snapshot_id int, chain_key string, duration_us long, start_us long, http_status_code int, log_level string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sn.series(x, x.select("snapshot_id", "trace_id", "file_id").distinct(), ["chain_key"])
+        assert not re.search(r"SortMergeJoin \[[^\],]*snapshot_id#\d+[^\],]*\],", _plan(out))
+        y = {(r["chain_key"], r["x"], r["metric"]): r["y"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert y[None, 0, "count"] == y[None, 1, "count"] == 12 and y["c", 0, "occurance percentage"] == 48 / 60
+    assert y["c", 0, "rate (req/sec)"] == pytest.approx(44 / 104) and (None, 0, "rate (req/sec)") not in y  # three files: three gaps don't count, 15 starts are needed

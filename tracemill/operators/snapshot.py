@@ -114,10 +114,7 @@ def analyse(spans: DataFrame, caching: list[str] | None = None, known: DataFrame
 
 def _of_all(df: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
     """df with _traces and _files of the snapshot's one row, or of its row of the same `by`."""
-    if by:
-        return T.same(df, total.select(*by, F.col("num_traces").alias("_traces"), F.col("num_files").cast("int").alias("_files")), by)
-    one = total.select(F.col("num_traces").alias("_traces"), F.col("num_files").cast("int").alias("_files"), F.lit(1).alias("_k"))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
+    return T.beside(df, total.select(*(by or []), F.col("num_traces").alias("_traces"), F.col("num_files").cast("int").alias("_files")), by)
 
 
 def service_report(spans: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -128,7 +125,7 @@ def service_report(spans: DataFrame, total: DataFrame, by: list[str] | None = No
 
 def _with_rates(df: DataFrame, own: DataFrame, total: DataFrame, keys: list[str], by: list[str] | None, rates: bool) -> DataFrame:
     if rates:
-        own = T.same(own, T.rates(_of_all(df.select(*keys, "start_us"), total, by), keys, outliers="_files"), keys)
+        own = T.same(own, T.rates(df, keys, outliers=total.select(*(by or []), F.col("num_files").cast("int").alias("_out")), scarce="chain_key" in keys), keys)
     x = _of_all(own, total, by)
     share = F.col("count") / F.col("_traces")
     return x.withColumns({"occurrence": F.round(share, 6), "expect_duration": F.round(share * F.col("avg_ms"), 6)}).drop("_traces", "_files")
@@ -169,11 +166,12 @@ def series(df: DataFrame, traces: DataFrame, keys: list[str], x: str = "snapshot
     fractions in place of those of the spans themselves."""
     own = [*keys, x]
     total = traces.groupBy(x).agg(F.count("*").alias("_traces"), F.countDistinct("file_id").cast("int").alias("_files"))
-    g = T.cumulated(st.flagged(df), own, "duration_us", ["_bad", "_err"]).groupBy(*own).agg(*st.measures())
+    scarce = "chain_key" in keys
+    g = T.cumulated(st.flagged(df), own, "duration_us", ["_bad", "_err"], scarce).groupBy(*own).agg(*st.measures())
     if errors is not None:
         g = g.drop("frac_not_http_ok", "frac_error_logs").join(errors, own)
-    rate = T.rates(df.select(*own, "start_us").join(total.select(x, "_files"), x), own, outliers="_files")
-    g = T.same(g, rate, own).join(total, x).withColumn("occurance percentage", F.col("count") / F.col("_traces"))
+    rate = T.rates(df, own, outliers=total.select(x, F.col("_files").alias("_out")), scarce=scarce)
+    g = T.beside(T.same(g, rate, own), total, [x]).withColumn("occurance percentage", F.col("count") / F.col("_traces"))
     return _long(g, own, OPERATION).withColumnRenamed(x, "x")
 
 
@@ -187,7 +185,7 @@ def basic_series(traces: DataFrame, keyed: DataFrame, after: DataFrame, x: str =
     own = own.join(chains(keyed).agg(lost.alias("init_num_unrooted_cc")), x).join(chains(after).agg(n.alias("num_call_chains"), lost.alias("num_unrooted_cc_after_fixes")), x)
     own = own.withColumn("num_fixes", F.col("init_num_unrooted_cc") - F.col("num_unrooted_cc_after_fixes"))
     own = own.join(T.cumulated(traces, [x], "duration_us").groupBy(x).agg(*T.time_stats()), x)
-    own = own.join(T.rates(traces.join(own.select(x, F.col("num_files").alias("_files")), x), [x], outliers="_files"), x)
+    own = own.join(T.rates(traces, [x], outliers=own.select(x, F.col("num_files").alias("_out"))), x)
     return _long(own, [x], BASIC).withColumnRenamed(x, "x")
 
 
