@@ -234,3 +234,17 @@ def test_metrics_of_chains_do_not_gather_spans_by_snapshot(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert y[None, 0, "count"] == y[None, 1, "count"] == 12 and y["c", 0, "occurance percentage"] == 48 / 60
     assert y["c", 0, "rate (req/sec)"] == pytest.approx(44 / 104) and (None, 0, "rate (req/sec)") not in y  # three files: three gaps don't count, 15 starts are needed
+
+
+def test_statistics_of_chains_shuffle_their_spans_once(spark):
+    x = spark.createDataFrame([("e", "k", d, 1, True, True) for d in (5, 1, 3, None)] + [(None, None, 7, 2, False, False)], "endpoint string, chain_key string, duration_us long, depth int, is_leaf boolean, rooted boolean")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = st.chain_stats(x, ["endpoint"])
+        assert _plan(out).count("ENSURE_REQUIREMENTS") <= 3  # all of rows that are counted before: buckets of keys, and keys
+        rows = {r["chain_key"]: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(rows) == 2 and rows["k"]["count"] == 4 and rows["k"]["median_ms"] == 0.003 and rows["k"]["max_ms"] == 0.005
+    assert rows[None]["endpoint"] is None and rows[None]["count"] == 1 and rows[None]["min_ms"] == 0.007

@@ -68,7 +68,7 @@ def chain_stats(keyed: DataFrame, by: list[str] | None = None) -> DataFrame:
     path_err, with the error fractions of operators.snapshot.chain_counters()."""
     keys = [*(by or []), "chain_key"]
     errors = {"path_bad": "frac_not_http_ok", "path_err": "frac_error_logs"} if "path_bad" in keyed.columns else {}
-    h = T.cumulated(keyed, keys, "duration_us", ["depth", "is_leaf", "rooted", *errors])
+    h = T.cumulated(keyed, keys, "duration_us", ["depth", "is_leaf", "rooted", *errors], scarce=True)
     return h.groupBy(*keys).agg(
         F.first("depth").alias("depth"), F.first("is_leaf").alias("is_leaf"), F.bool_and("rooted").alias("rooted"), F.sum("_c").alias("count"), *T.time_stats(), *[_share(c).alias(n) for c, n in errors.items()],
     )
