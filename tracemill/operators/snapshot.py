@@ -75,8 +75,10 @@ def counters(traces: DataFrame, before: DataFrame, after: DataFrame) -> DataFram
 
 
 def endpoint_counters(traces: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row per endpoint, of what counters() has for the whole set; before and after carry endpoint."""
-    own = traces.groupBy("endpoint").agg(F.countDistinct("file_id").alias("num_files"), F.count("*").alias("num_traces"), F.count_if(F.col("num_missing") > 0).alias("num_incomplete_traces"))
+    """One row per endpoint, of what counters() has for the whole set; before and after carry endpoint. traces: trace_records(), or counts of traces (chaincount)."""
+    incomplete = F.col("num_missing") > 0
+    lost = F.sum(F.when(incomplete, F.col("count")).otherwise(0)) if "count" in traces.columns else F.count_if(incomplete)
+    own = traces.groupBy("endpoint").agg(F.countDistinct("file_id").alias("num_files"), st.rows(traces).alias("num_traces"), lost.alias("num_incomplete_traces"))
     own = own.withColumn("incomplete_percentage", F.round(100 * F.col("num_incomplete_traces") / F.col("num_traces"), 6))
     chains = lambda k: k.groupBy("endpoint", "chain_key").agg(F.bool_and("rooted").alias("rooted")).groupBy("endpoint")
     n, lost = F.count("*"), F.count_if(~F.col("rooted"))
